@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: UTF-32 before UTF-16: the little-endian mark of the one begins with that of the other.
 BOMS = (
@@ -41,7 +42,7 @@ def decode_source(data: bytes | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_source(b))
 

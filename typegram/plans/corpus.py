@@ -11,7 +11,7 @@ from typegram.session import table
 _STATEMENTS = """
 statements AS (
   SELECT d.lang AS language, d.source AS repo, d.doc_id AS file,
-         len(list_filter(regexp_split_to_array(s.part, '[ \\t\\r]+'), x -> x <> '')) AS tokens
+         len(list_filter(regexp_split_to_array(s.part, '[ \\t\\r]+'), lambda x: x <> '')) AS tokens
   FROM documents d, unnest(regexp_split_to_array(d.text, '[.!?\\n]+')) AS s(part)
 ),
 kept AS (SELECT * FROM statements WHERE tokens > 2)
