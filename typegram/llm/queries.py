@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from typegram.llm import copies, terms
+from typegram.llm import copies, syntax, terms
 from typegram.session import table
 
 QUERIES: dict = {}
@@ -63,3 +63,18 @@ def p2_word_ngrams(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
     return terms.frequencies(docs.select(words.alias("words")), "words", max_n=3)
+
+
+@query("p5_found")
+def p5_found(spark, sf_dir):
+    return syntax.invalid(table(spark, sf_dir, "corpus"))
+
+
+@query("p5_rates")
+def p5_rates(spark, sf_dir):
+    return syntax.rates(table(spark, sf_dir, "corpus"))
+
+
+@query("p5_scans")
+def p5_scans(spark, sf_dir):
+    return syntax.against_scans(table(spark, sf_dir, "corpus"), terms.final_scans(table(spark, sf_dir, "import_scan")))

@@ -127,7 +127,7 @@ def root_frequencies(scans: DataFrame) -> DataFrame:
 def marked_roots(scans: DataFrame, archives: DataFrame, rare_below: int = 3, common_part: int = 10) -> DataFrame:
     """root, files, scans, mark: rare under rare_below files, common from a common_part-th of all python files, else NULL."""
     latest = archives.groupBy("archive").agg(F.max_by("archive_python_files", F.struct("snapshot_at", "archive_python_files")).alias("n"))
-    total = latest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    rows = root_frequencies(scans).withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-    mark = F.when(F.col("files") < rare_below, "rare").when(F.col("files") * common_part >= F.col("total"), "common")
+    total = latest.agg(F.sum("n")).first()[0] or 0
+    rows = root_frequencies(scans)
+    mark = F.when(F.col("files") < rare_below, "rare").when(F.col("files") * common_part >= total, "common")
     return rows.select("root", "files", "scans", mark.alias("mark"))
