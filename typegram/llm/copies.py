@@ -94,8 +94,13 @@ def data_keys(df: DataFrame, id_col: str, data: str, *more: Column) -> DataFrame
     names = [c for c in rows.columns if c not in ("id", "t")]
     jsonish = F.when(F.col("t").rlike(r"\A\s*[\{\[]"), F.col("t"))
     rows = rows.select("id", _norm(F.col("t")).alias("n"), _json_key(jsonish).alias("c"), *names).filter("n <> ''")
-    rows = written(rows.select("id", F.unhex(F.md5("n")).alias("p"), "c", *names))
+    return linked_keys(written(rows.select("id", F.unhex(F.md5("n")).alias("p"), "c", *names)))
+
+
+def linked_keys(rows: DataFrame) -> DataFrame:
+    """rows(id, p, c, ...) with data_key instead of p and c: keys as written, c the canonical key of valid JSON or NULL."""
     by_text = canonical_of_text(rows.filter("c IS NOT NULL").select("p", "c").distinct())
+    names = [x for x in rows.columns if x not in ("id", "p", "c")]
     return rows.join(by_text, "p", "left").select("id", F.coalesce("label", "p").alias("data_key"), *names)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from typegram.llm import copies, syntax, terms
+from typegram.llm import copies, overlap, syntax, terms
 from typegram.session import table
 
 QUERIES: dict = {}
@@ -65,6 +65,16 @@ def p2_word_ngrams(spark, sf_dir):
     return terms.frequencies(docs.select(words.alias("words")), "words", max_n=3)
 
 
+@query("p3_found")
+def p3_found(spark, sf_dir):
+    return overlap.found(table(spark, sf_dir, "corpus"))
+
+
+@query("p3_report")
+def p3_report(spark, sf_dir):
+    return overlap.report(table(spark, sf_dir, "corpus"))
+
+
 @query("p5_found")
 def p5_found(spark, sf_dir):
     return syntax.invalid(table(spark, sf_dir, "corpus"))
