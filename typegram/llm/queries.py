@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from typegram.llm import copies, overlap, syntax, terms
+from typegram.llm import copies, overlap, quantiles, reservoir, syntax, terms
 from typegram.session import table
 
 QUERIES: dict = {}
@@ -75,6 +75,39 @@ def p3_report(spark, sf_dir):
     return overlap.report(table(spark, sf_dir, "corpus"))
 
 
+def _measures(spark, sf_dir):
+    """Every distinct outcome and run once, per dimension."""
+    split = F.lower(F.trim("split"))
+    ranks = quantiles.by_dimension(
+        table(spark, sf_dir, "rank_outcome"), "outcome_id", "elapsed_seconds", "rank_outcome",
+        dataset=F.col("dataset"), split=split, failure=F.col("failure"), day=F.to_date("finished_at"))
+    runs = quantiles.by_dimension(
+        table(spark, sf_dir, "aggregate_run"), "run_id", "total_cfg_intersection_seconds", "aggregate_run",
+        dataset=F.col("dataset"), split=split, source=F.col("source"), day=F.to_date("reported_at"))
+    return ranks.unionByName(runs)
+
+
+GROUPS = ("measure", "dim", "val")
+
+
+@query("p4_percentiles")
+def p4_percentiles(spark, sf_dir):
+    return quantiles.percentiles(quantiles.sketch(_measures(spark, sf_dir), "x", GROUPS), GROUPS)
+
+
+@query("p4_merged_days")
+def p4_merged_days(spark, sf_dir):
+    """Months from the sketches of their days."""
+    days = quantiles.sketch(_measures(spark, sf_dir).filter("dim = 'day'"), "x", GROUPS)
+    months = days.select("measure", F.substring("val", 1, 7).alias("month"), "level", "nodes", "counts")
+    return quantiles.percentiles(quantiles.merged(months, ("measure", "month")), ("measure", "month"))
+
+
+@query("p6_sample")
+def p6_sample(spark, sf_dir):
+    return reservoir.sample(table(spark, sf_dir, "source_sample"), k=256)
+
+
 @query("p5_found")
 def p5_found(spark, sf_dir):
     return syntax.invalid(table(spark, sf_dir, "corpus"))
