@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from typegram.llm import copies, overlap, quantiles, reservoir, syntax, terms
+from typegram.llm import copies, encoding, leaks, overlap, quantiles, reservoir, syntax, terms
 from typegram.session import table
 
 QUERIES: dict = {}
@@ -121,3 +121,18 @@ def p5_rates(spark, sf_dir):
 @query("p5_scans")
 def p5_scans(spark, sf_dir):
     return syntax.against_scans(table(spark, sf_dir, "corpus"), terms.final_scans(table(spark, sf_dir, "import_scan")))
+
+
+@query("p7_ids")
+def p7_ids(spark, sf_dir):
+    return encoding.encoded(table(spark, sf_dir, "documents"))
+
+
+@query("p8_found")
+def p8_found(spark, sf_dir):
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+@query("p8_report")
+def p8_report(spark, sf_dir):
+    return leaks.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
