@@ -39,6 +39,7 @@ _QUOTE = re.compile(r"\[(/?)quote(?:=[^\]\n]*)?\]|<(/?)blockquote[^<>]*>", re.I)
 _PREFIXED = re.compile(r"^[ \t]*(?:>|:(?=[ \t>:]|$)|\|(?=[ \t]|$)).*$", re.M)
 _ATTRIBUTION = re.compile(r"^[ \t]*(?:On .{1,60} wrote|[\w.~-]{1,40} wrote|.{1,40} (?:schrieb|escribió|a écrit)|@[\w.]+)[ \t]*:?[ \t]*$", re.M)
 _SIGNATURE = re.compile(r"^[ \t]*(?:-- ?|_{5,}|~[\w.]+~.*|sent from my .*|\*\*\*.*)[ \t]*$", re.M | re.I)
+_RULED = re.compile(r"<hr\b[^<>]*>\s*<small>.*?(?:</small>|\Z)", re.S | re.I)
 _LINE_BREAK = re.compile(r"[ \t]*<br\s*/?>[ \t]*\r?\n?|<p\b[^<>]*>|\r\n?", re.I)
 
 
@@ -68,6 +69,7 @@ def unquoted(text: str) -> str:
 def own(text: str) -> str:
     text = _LINE_BREAK.sub("\n", unquoted(text))
     text = _ATTRIBUTION.sub("", _PREFIXED.sub("", text))
+    text = _RULED.sub("", text)
     m = _SIGNATURE.search(text)
     return clean(text[:m.start()] if m else text)
 

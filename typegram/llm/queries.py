@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from typegram.llm import copies, encoding, leaks, overlap, quantiles, reservoir, syntax, terms
+from typegram.llm import copies, encoding, leaks, overlap, quantiles, reservoir, subjects, syntax, terms
 from typegram.session import table
 
 QUERIES: dict = {}
@@ -136,3 +136,13 @@ def p8_found(spark, sf_dir):
 @query("p8_report")
 def p8_report(spark, sf_dir):
     return leaks.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+@query("p9_found")
+def p9_found(spark, sf_dir):
+    return subjects.assigned(*(table(spark, sf_dir, x) for x in ("documents", "subject_seed", "eval_item")))
+
+
+@query("p9_composition")
+def p9_composition(spark, sf_dir):
+    return subjects.composition(*(table(spark, sf_dir, x) for x in ("documents", "subject_seed", "eval_item")))
