@@ -16,4 +16,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from typegram.plans import corpus, metrics  # noqa: E402, F401
+from typegram.plans import corpus, grammars, metrics  # noqa: E402, F401
