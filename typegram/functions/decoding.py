@@ -42,6 +42,13 @@ def decode_source(data: bytes | None) -> str | None:
         return None
 
 
+def decode_python(data: bytes | None) -> str | None:
+    """As Python reads its sources: a UTF-8 mark or a declaration counts, other byte order marks don't."""
+    if data is None or any(bytes(data[:len(b)]) == b for b, n in BOMS if n != "utf-8"):
+        return None
+    return decode_source(data)
+
+
 @F.pandas_udf(T.StringType())
 def _decode_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else decode_source(b))

@@ -32,7 +32,7 @@ def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", x * 100), F.lit("n/a"))
+    return F.when(x.isNull(), F.lit("n/a")).otherwise(F.format_string("%.2f%%", x * 100))
 
 
 def run_ratios(df: DataFrame, *groups: str) -> DataFrame:

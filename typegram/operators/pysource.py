@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from typegram.functions.decoding import decode_source
+from typegram.functions.decoding import decode_python
 
 FRESH = "@fresh"
 _SKIPPED = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER}
 
 
 def parsed(data: bytes | None) -> tuple[str | None, ast.Module | None]:
-    text = decode_source(data)
+    text = decode_python(data)
     if text is None:
         return None, None
     try:

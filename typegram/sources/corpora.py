@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import tarfile
 from collections.abc import Iterator
@@ -87,13 +88,27 @@ def best_stubs(files: DataFrame) -> DataFrame:
 
 
 def discover_stubs(spark: SparkSession, root: str) -> DataFrame:
-    """module, path, is_stub, in_stub_distribution of .py and .pyi files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py*").load(root).select("path")
-    rel = F.expr(f"substring(path, locate('{root.rstrip('/')}', path) + {len(root.rstrip('/')) + 1})")
-    trimmed = F.regexp_replace(F.regexp_replace(rel, r"\.pyi?$", ""), r"/__init__$", "")
-    top = F.split(trimmed, "/")
-    module = F.regexp_replace(F.array_join(top, "."), r"^([^.]*?)-stubs\b", "$1")
-    return files.filter(F.col("path").rlike(r"\.pyi?$")).select(module.alias("module"), "path", F.col("path").endswith(".pyi").alias("is_stub"), top[0].endswith("-stubs").alias("in_stub_distribution"))
+    """module, path, is_stub, in_stub_distribution of .py and .pyi files below a folder all executors see.
+
+    Spark's own listing hides names that begin with _, such as __init__.py; so each top-level entry is walked in a task.
+    """
+    top = [(os.path.join(root, e),) for e in sorted(os.listdir(root))]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for entry in pdf["entry"]:
+                files = [entry] if os.path.isfile(entry) else [os.path.join(d, f) for d, _, fs in os.walk(entry) for f in fs]
+                for path in files:
+                    if not path.endswith((".py", ".pyi")):
+                        continue
+                    parts = os.path.relpath(path, root).rpartition(".")[0].split(os.sep)
+                    in_stubs = parts[0].endswith("-stubs")
+                    parts[0] = parts[0].removesuffix("-stubs")
+                    rows.append((".".join(parts[:-1] if parts[-1] == "__init__" else parts), path, path.endswith(".pyi"), in_stubs))
+            yield pd.DataFrame(rows, columns=["module", "path", "is_stub", "in_stub_distribution"])
+
+    return spark.createDataFrame(top, "entry string").mapInPandas(walk, "module string, path string, is_stub boolean, in_stub_distribution boolean")
 
 
 #: Folder names and file endings of code that is vendored, generated or test code (fixed values).
