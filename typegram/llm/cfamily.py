@@ -48,11 +48,13 @@ CPP_KEYWORDS = frozenset(
     "noexcept nullptr operator private protected public register reinterpret_cast requires return short signed sizeof static static_assert static_cast "
     "struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while".split())
 _LITERAL_WORDS = frozenset(("true", "false", "null", "nullptr"))
+#: Where a statement may begin, yield is one.
+_BEFORE_YIELD = frozenset(("{", "}", ";", "->", ")", ":"))
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
-def lex(text: str, java: bool) -> list[str]:
-    """Kinds: i for identifiers, l for literals, keywords and signs as themselves, then eof."""
+def lex(text: str, java: bool, names: dict[int, str] | None = None) -> list[str]:
+    """Kinds: i for identifiers, l for literals, keywords and signs as themselves, then eof. names gets identifiers by place."""
     if not java:
         for m in _DIRECTIVE.finditer(text) if "#" in text else ():
             if not _GOOD_DIRECTIVE.match(m.group()):
@@ -73,7 +75,12 @@ def lex(text: str, java: bool) -> list[str]:
             continue
         if g == "w":
             w = m.group()
-            add("l" if w in _LITERAL_WORDS else w if w in keywords else "i")
+            if java and w == "yield" and kinds and kinds[-1] in _BEFORE_YIELD:
+                add("yield")
+            else:
+                if names is not None:
+                    names[len(kinds)] = w
+                add("l" if w in _LITERAL_WORDS else w if w in keywords else "i")
         elif g == "o":
             add(m.group())
         else:
@@ -116,8 +123,8 @@ _SEEN_LIMIT = 200_000
 
 
 class Parser:
-    def __init__(self, kinds: list[str], java: bool):
-        self.k, self.m, self.java = kinds, brackets(kinds), java
+    def __init__(self, kinds: list[str], java: bool, names: dict[int, str] | None = None):
+        self.k, self.m, self.java, self.names = kinds, brackets(kinds), java, names or {}
         self.primitive = _JAVA_PRIMITIVE if java else _CPP_PRIMITIVE
 
     def need(self, p: int, kind: str) -> int:
@@ -186,7 +193,7 @@ class Parser:
                 p += 1
         return p if p > start else -1
 
-    def targs(self, p: int) -> int:
+    def targs(self, p: int, diamond: bool = False) -> int:
         """Position after <...> at p; p where there is none or, for C++, where it is no argument list; Java: -1."""
         k, start = self.k, p
         none = -1 if self.java else start
@@ -194,7 +201,7 @@ class Parser:
             return p
         p += 1
         if k[p] == ">":
-            return p + 1
+            return p + 1 if diamond or not self.java else -1
         while True:
             if self.java:
                 p = self.annotations(p)
@@ -313,7 +320,7 @@ class Parser:
         if t == "(":
             end = self.m[p]
             if java and k[end + 1] == "->":
-                self.java_params(p)
+                self.java_params(p, bare=True)
                 return self.lambda_body(end + 2)
             q = self.try_type(p + 1)
             while java and q > 0 and k[q] == "&":
@@ -505,9 +512,9 @@ class Parser:
             if k[p] in _JAVA_PRIMITIVE:
                 p += 1
             else:
-                p = self.targs(self.need(p, "i"))
+                p = self.targs(self.need(p, "i"), diamond=True)
                 while p > 0 and k[p] == ".":
-                    p = self.targs(self.need(p + 1, "i"))
+                    p = self.targs(self.need(p + 1, "i"), diamond=True)
                 if p < 0:
                     raise Bad("type")
             if k[p] == "(":
@@ -564,7 +571,7 @@ class Parser:
         return self.postfix(self.block(p))
 
     # ---- parameters and declarators ----
-    def java_params(self, p: int) -> int:
+    def java_params(self, p: int, bare: bool = False) -> int:
         """Typed parameters, or the bare names of a lambda."""
         k, end = self.k, self.m[p]
         p += 1
@@ -573,7 +580,7 @@ class Parser:
         while True:
             while k[p] in ("final", "@"):
                 p = p + 1 if k[p] == "final" else self.annotations(p)
-            if k[p] == "i" and k[p + 1] in (",", ")"):
+            if bare and k[p] == "i" and k[p + 1] in (",", ")"):
                 p += 1
             else:
                 p = self.type(p)
@@ -759,14 +766,26 @@ class Parser:
         if not self.java:
             return q
         k, at, assign, binary = self.k, p, False, False
+        compared = False
         while at < q:
             t = k[at]
             if t in ("(", "[", "{"):
                 at = self.m[at]
-            elif t in _ASSIGN or t == ">" and k[at + 1] in ("=", "=="):
+            elif t == "<" and k[at - 1] == ".":
+                at = self.targs(at) - 1
+            elif t == ">" and k[at + 1] == "=" and k[at - 1] != ">":
+                compared = True  # >=
+                at += 1
+            elif t == ">" and k[at + 1] == ">":
+                compared, at = compared or k[at + 2] not in ("=", ">"), at + (k[at + 2] in ("=", ">"))
+            elif t in _ASSIGN or t == ">" and k[at + 1] == "=":
+                if binary or compared:
+                    raise Bad("not a variable")
                 assign = True
                 break
-            elif t in _BINARY and t not in ("<",) or t in ("?", "instanceof"):
+            elif t in ("<", ">"):
+                compared = True
+            elif t in _BINARY or t in ("?", "instanceof"):
                 binary = True
             at += 1
         if assign or k[p] in ("++", "--") or k[q - 1] in ("++", "--") or k[p] == "switch":
@@ -815,8 +834,6 @@ class Parser:
             q = self.try_type(p)
             if q > 0 and k[q] == "i":
                 return self.need(self.java_declarators(q), ";")
-            if k[p] == "i" and k[p + 1] not in ("(", ".", "=", "[", "<", "++", "--", "::", "->") and k[p + 1] not in _ASSIGN:
-                return self.need(self.expr(p + 1), ";")  # yield value;
             return self.need(self.expr_statement(p), ";")
         if t in ("class", "struct", "union", "enum") and self.defines(p):
             return self.cpp_class(p)
@@ -1006,6 +1023,12 @@ class Parser:
             p = self.expr(p + 1)
         return self.need(p, ";")
 
+    def s_yield(self, p: int) -> int:
+        if self.k[p + 1] in ("=", ".", "[", "++", "--") or self.k[p + 1] in _ASSIGN:
+            self.k[p] = "i"
+            return self.simple(p)
+        return self.need(self.expr(p + 1), ";")
+
     def s_bad(self, p: int) -> int:
         raise Bad("statement")
 
@@ -1041,9 +1064,12 @@ class Parser:
         return p
 
     def modifiers(self, p: int) -> int:
-        k = self.k
+        k, seen = self.k, set()
         while True:
             if k[p] in _JAVA_MODIFIER and not (k[p] == "default" and k[p + 1] in (":", "->")):
+                if k[p] in seen:
+                    raise Bad("repeated modifier")
+                seen.add(k[p])
                 p += 1
             elif k[p] == "@" and k[p + 1] == "i":
                 p = self.annotations(p)
@@ -1056,7 +1082,7 @@ class Parser:
         k = self.k
         if k[p] == "@" and k[p + 1] == "interface":
             p += 1
-        kind = k[p]
+        kind, own = k[p], self.names.get(p + 1)
         if kind in ("class", "interface", "enum"):
             p = self.need(p + 1, "i")
         elif kind == "i" and k[p + 1] == "i":  # record
@@ -1073,9 +1099,9 @@ class Parser:
             p = self.type(p + 1)
             while k[p] == ",":
                 p = self.type(p + 1)
-        return self.class_body(p, kind == "enum")
+        return self.class_body(p, kind == "enum", own)
 
-    def class_body(self, p: int, enum: bool = False) -> int:
+    def class_body(self, p: int, enum: bool = False, own: str | None = None) -> int:
         k = self.k
         end = self.m[self.need(p, "{") - 1]
         p += 1
@@ -1093,12 +1119,12 @@ class Parser:
                 return end + 1
             p = self.need(p, ";")
         while p < end:
-            p = self.java_member(p)
+            p = self.java_member(p, own)
         if p != end:
             raise Bad("class body")
         return end + 1
 
-    def java_member(self, p: int) -> int:
+    def java_member(self, p: int, own: str | None) -> int:
         k = self.k
         if k[p] == ";":
             return p + 1
@@ -1111,6 +1137,8 @@ class Parser:
             p = self.targs(p)
             if p < 0:
                 raise Bad("type parameters")
+        if k[p] == "i" and k[p + 1] in ("(", "{") and self.names.get(p) != own:
+            raise Bad("return type")
         if k[p] == "i" and k[p + 1] == "(":  # constructor
             return self.block(self.throws(self.java_params(p + 1)))
         if k[p] == "i" and k[p + 1] == "{":  # compact constructor
@@ -1321,7 +1349,7 @@ class Parser:
         return p + 1 if k[p] == ";" else self.need(self.cpp_declarators(p), ";")
 
 
-Parser.JAVA_STATEMENTS = Parser.STATEMENTS | {"synchronized": Parser.s_synchronized, "assert": Parser.s_assert}
+Parser.JAVA_STATEMENTS = Parser.STATEMENTS | {"synchronized": Parser.s_synchronized, "assert": Parser.s_assert, "yield": Parser.s_yield}
 
 
 class JavaParser(Parser):
@@ -1336,10 +1364,11 @@ def remember(key: tuple[bool, str]) -> None:
 
 def parses(text: str, java: bool) -> bool:
     try:
-        kinds = lex(text, java)
+        names: dict[int, str] | None = {} if java else None
+        kinds = lex(text, java, names)
         kinds += ["eof"] * 4
         if java:
-            JavaParser(kinds, True).java_unit()
+            JavaParser(kinds, True, names).java_unit()
         else:
             Parser(kinds, False).cpp_unit()
     except (Bad, RecursionError, KeyError):

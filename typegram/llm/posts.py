@@ -15,8 +15,8 @@ import regex
 
 BLOCK = r"br|p|div|hr|blockquote|cite|li|ul|ol|tr|td|table|h[1-6]|quote|attachment"
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]\w{1,30});")
-_BLOCK_TAG = re.compile(rf"<\s*/?\s*(?:{BLOCK})\b[^<>]*>|\[/?(?:{BLOCK})(?:=[^\[\]\n]*)?\]", re.I)
-_TAG = re.compile(r"<!--.*?-->|<\s*/?\s*[a-zA-Z][\w-]*(?:\s[^<>]*|/)?>|\[/?(?:b|i|u|s|url|img|color|size|font|code|center|list|spoiler)(?:=[^\[\]\n]*)?\]|\[\*\]", re.S | re.I)
+_BLOCK_TAG = re.compile(rf"</?(?:{BLOCK})\b[^<>]*>|\[/?(?:{BLOCK})(?:=[^\[\]\n]*)?\]", re.I)
+_TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][\w-]*(?:\s[^<>]*|/)?>|\[/?(?:b|i|u|s|url|img|color|size|font|code|center|list|spoiler)(?:=[^\[\]\n]*)?\]|\[\*\]", re.S | re.I)
 _INVISIBLE = regex.compile(r"\x1b\[[0-9;]*[A-Za-z]|[\p{Cf}\p{Co}\p{Cn}︀-️]|[^\P{Cc}\t\n\r]")
 WORD = re.compile(r"[^\W_]+")
 
@@ -74,7 +74,7 @@ def own(text: str) -> str:
     return clean(text[:m.start()] if m else text)
 
 
-_DOTS = re.compile(r"(?:[ \t]*[.…。]){2,}")
+_DOTS = re.compile(r"(?:[ \t]*[.…。]){3,}|[.…]{2,}")
 _END = re.compile(r"[.!?。]+(?:\s+|$)|\n+|¿|¡")
 
 

@@ -16,6 +16,7 @@ give equal rows once; without seeds nothing has an area; an empty table gives no
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -87,12 +88,17 @@ class Lexicon:
 
 def from_counts(counts: dict[str, Counter], total: dict[str, float], least: float) -> dict[str, tuple[str, ...]]:
     """Areas that hold at least SHARE of a word's weight, for words that lean to one or two areas."""
+    overall: Counter = Counter()
+    for c in counts.values():
+        overall.update(c)
+    whole = sum(overall.values()) or 1
+    lifted = {a: min(0.9, LIFT * n / whole) for a, n in overall.items()}  # more than what is spoken of everywhere
     out = {}
     for w, c in counts.items():
         n = total[w]
         if n < least or not c:
             continue
-        held = sorted((a for a, v in c.items() if v / n >= SHARE), key=lambda a: (-c[a], a))
+        held = sorted((a for a, v in c.items() if v / n >= max(SHARE, lifted[a])), key=lambda a: (-c[a], a))
         if held and c[held[0]] / n >= 0.4 and sum(c[a] for a in held[:2]) / n >= 0.7:
             out[w] = tuple(held[:2])
     return out
@@ -110,29 +116,30 @@ def seed_counts(seeds: list[tuple[str, frozenset[str]]]) -> tuple[dict[str, Coun
 
 
 def neighbours(lexicon: Lexicon, sentences: list[list[str]], into: dict[str, Counter]) -> None:
-    """Adds, for every word, the areas of the other words in its sentence ('' where there is none)."""
+    """Adds, for every word, the area of the known words beside it in its sentences as (area, ''), and of all words beside it
+    in which of 64 classes they fall as ('', class)."""
     certain = Counter(a[0] for s in sentences for w in s if len(a := lexicon.of(w)) == 1)
     for s in sentences:
         known = [(w, a[0]) for w in s if len(a := lexicon.of(w)) == 1]
         for w in s:
             votes = Counter(a for x, a in known if x != w)
-            best = max(votes, key=lambda x: (votes[x], certain[x], x)) if votes else ""
-            into[w][best] += 1
+            if votes:
+                best = max(votes, key=lambda x: (votes[x], certain[x], x))
+                into[w][best, ""] += 1
+                for x in s:
+                    if x != w:
+                        into[w]["", str(zlib.crc32(x.encode()) % 64)] = 1
 
 
 def refined(counts: dict[str, Counter], seed: dict[str, tuple[str, ...]], barred: frozenset[str] = frozenset()) -> Lexicon:
     """Words whose sentences point to one or two areas far above those areas' shares; never barred words."""
-    overall: Counter = Counter()
-    for c in counts.values():
-        overall.update({a: n for a, n in c.items() if a})
-    whole = sum(overall.values()) or 1
-    known = {}
-    totals = {}
-    for w, c in counts.items():
-        known[w] = Counter({a: n for a, n in c.items() if a})
-        totals[w] = sum(known[w].values())
+    known = {w: Counter({a: n for (a, _), n in c.items() if a}) for w, c in counts.items()}
+    totals = {w: sum(c.values()) for w, c in known.items()}
+    # set phrases keep to themselves: a word of an area stands beside many others
+    phrases = {w for w, c in counts.items() if totals[w] >= 6 and sum(1 for _, x in c if x) < 5}
+    barred = barred | phrases
     out = from_counts(known, totals, least=4)
-    out = {w: a for w, a in out.items() if w not in barred and known[w][a[0]] / totals[w] >= LIFT * overall[a[0]] / whole}
+    out = {w: a for w, a in out.items() if w not in barred}
     for w, a in seed.items():  # what the seeds say stays, unless the posts' sentences say nothing of the kind
         n = totals.get(w, 0)
         if w in barred or n >= 20 and known[w][a[0]] / n < 0.15:
@@ -185,7 +192,7 @@ def _neighbour_counts(areas: dict[str, tuple[str, ...]]):
 
 
 def _long(into: dict[str, Counter]) -> pd.DataFrame:
-    return pd.DataFrame([(w, a, n) for w, c in into.items() for a, n in c.items()], columns=["word", "area", "n"])
+    return pd.DataFrame([(w, a, x, n) for w, c in into.items() for (a, x), n in c.items()], columns=["word", "area", "beside", "n"])
 
 
 def _votes(areas: dict[str, tuple[str, ...]]):
@@ -208,10 +215,13 @@ def fit_lexicon(read: DataFrame, seeds: list[tuple[str, frozenset[str]]], barred
     first = from_counts(*seed_counts(seeds), least=2)
     lexicon = Lexicon(first)
     for _ in range(rounds):
-        counts = read.select("own").mapInPandas(_neighbour_counts(lexicon.areas), "word string, area string, n bigint")
-        by_word = counts.groupBy("word", "area").agg(F.sum("n").alias("n"))
-        words = by_word.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("area", "n"))).alias("c"), F.sum("n").alias("n"))
-        into = {r.word: Counter(r.c) for r in words.filter("n >= 4").orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+        counts = read.select("own").mapInPandas(_neighbour_counts(lexicon.areas), "word string, area string, beside string, n bigint")
+        summed = counts.groupBy("word", "area", "beside").agg(F.sum("n").alias("n"))
+        # per word: its counts by area, and how many classes of words stand beside it
+        words = summed.groupBy("word").agg(
+            F.collect_list(F.when(F.col("area") != "", F.struct("area", "n"))).alias("c"), F.count_if(F.col("beside") != "").alias("others"), F.sum(F.when(F.col("area") != "", F.col("n")).otherwise(0)).alias("n"))
+        into = {r.word: Counter({(x.area, ""): x.n for x in r.c} | {("", str(i)): 1 for i in range(r.others)})
+                for r in words.filter("n >= 4").orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
         for text, _areas in seeds:
             neighbours(lexicon, own_sentences(text), _Adding(into))
         lexicon = refined(into, first, barred)
@@ -228,6 +238,9 @@ class _Adding(dict):
         return self.into.setdefault(word, Counter())
 
 
+#: How evidence is expected to fall without and with a treated area, and how many seeds that expectation is worth.
+PRIOR = ((0.93, 0.05, 0.014, 0.004, 0.001, 0.001), (0.001, 0.002, 0.01, 0.167, 0.41, 0.41))
+PRIOR_WEIGHT = 10
 Pattern = tuple[int, int, int, int]  # evidence, address, section, board
 
 
@@ -235,24 +248,25 @@ def latent_model(patterns: dict[Pattern, float], labelled: dict[tuple[int, bool]
     """Posterior of each vote pattern. labelled: counts of (evidence, label) of the seeds, kept fixed."""
     sizes = (LEVELS, 2, 2, 2)
 
+    # evidence: what the seeds say of it, with the expectation worth PRIOR_WEIGHT seeds; it anchors the labels
+    of_evidence = []
+    for label in (0, 1):
+        c = [labelled.get((e, bool(label)), 0) + PRIOR_WEIGHT * PRIOR[label][e] for e in range(LEVELS)]
+        of_evidence.append([x / sum(c) for x in c])
+
     def probabilities(weights: dict[Pattern, tuple[float, float]]):
         out = []
         for label in (0, 1):
-            per = []
-            for f, size in enumerate(sizes):
-                c = [0.5] * size
+            per = [of_evidence[label]]
+            for f in (1, 2, 3):
+                c = [0.5] * sizes[f]
                 for p, w in weights.items():
                     c[p[f]] += w[label]
-                if f == 0:
-                    for (e, y), n in labelled.items():
-                        if y == bool(label):
-                            c[e] += n
                 per.append([x / sum(c) for x in c])
             out.append(per)
         return out
 
-    # start: what the seeds say of each level of evidence
-    start = {e: (labelled.get((e, True), 0) + 0.02) / (labelled.get((e, True), 0) + labelled.get((e, False), 0) + 1) for e in range(LEVELS)}
+    start = {e: of_evidence[1][e] / (of_evidence[1][e] + of_evidence[0][e]) for e in range(LEVELS)}
     posterior = {p: start[p[0]] for p in patterns}
     for _ in range(rounds):
         weights = {p: (n * (1 - posterior[p]), n * posterior[p]) for p, n in patterns.items()}
@@ -278,6 +292,8 @@ def posteriors(docs: DataFrame, seeds: DataFrame, foreign: DataFrame | None = No
         F.min(seed_text).alias("t"), F.collect_set(subject).alias("a")).orderBy(seed_id).limit(SEEDS).collect()
     examples = [(r.t, frozenset(r.a)) for r in labelled]
     areas = sorted({a for _, x in examples for a in x})
+    if not areas:
+        return docs.select(F.col(id_col), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("posterior")).limit(0)
     barred = frozenset(stem(w) for r in (foreign.select("text").limit(SEEDS).collect() if foreign is not None else ()) for w in posts.words(r.text or ""))
     lexicon = fit_lexicon(read, examples, barred - frozenset(from_counts(*seed_counts(examples), least=3)))
     votes = written(read.mapInPandas(_votes(lexicon), f"id {kind}, board string, area string, evidence int, address int, section int"))
@@ -285,7 +301,7 @@ def posteriors(docs: DataFrame, seeds: DataFrame, foreign: DataFrame | None = No
     treated = votes.filter("evidence >= 4").groupBy("board", "area").agg(F.count("*").alias("n"))
     overall = {r.area: r.n for r in treated.groupBy("area").agg(F.sum("n").alias("n")).collect()}
     whole = sum(overall.values()) or 1
-    share = F.create_map(*(x for a in areas for x in (F.lit(a), F.lit(overall.get(a, 0) / whole)))) if areas else F.lit(None)
+    share = F.create_map(*(x for a in areas for x in (F.lit(a), F.lit(overall.get(a, 0) / whole))))
     per_board = treated.groupBy("board").agg(F.sum("n").alias("m"))
     leaning = treated.join(per_board, "board").filter(F.col("n") > LIFT * F.col("m") * share[F.col("area")]).select("board", "area", F.lit(1).alias("leans"))
     votes = votes.join(leaning, ["board", "area"], "left").select("id", "area", "evidence", "address", "section", F.coalesce("leans", F.lit(0)).alias("board"))
