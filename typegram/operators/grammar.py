@@ -86,3 +86,11 @@ def unit_edges(p: DataFrame) -> DataFrame:
 
 def is_unit() -> Column:
     return (F.size("rhs") == 1) & (F.col("rhs")[0]["kind"] == "N")
+
+
+def indexed_by(p: DataFrame, key: str) -> DataFrame:
+    """key, members: the distinct productions of each left side, first terminal or pair of symbols."""
+    keys = {"lhs": F.col("lhs"), "terminal": F.when((F.size("rhs") == 1) & (F.col("rhs")[0]["kind"] == "T"), F.col("rhs")[0]["value"]),
+            "pair": F.when(F.size("rhs") == 2, F.concat_ws(" ", F.col("rhs")[0]["value"], F.col("rhs")[1]["value"]))}
+    rows = p.select(keys[key].alias("key"), F.struct("lhs", rhs_text().alias("rhs_text")).alias("m")).filter("key IS NOT NULL")
+    return rows.groupBy("key").agg(F.sort_array(F.collect_set("m")).alias("members"))

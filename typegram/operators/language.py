@@ -179,3 +179,42 @@ def sizes(rules: DataFrame, key: str, max_length: int, **options) -> DataFrame:
         return pd.DataFrame([(k, n, str(s), math.log10(s) if s else None) for n, s in got], columns=[key, "length", "size", "log10"])
 
     return per_grammar(rules, key, f, f"{key} string, length int, size string, log10 double", **options)
+
+
+class Derivations:
+    """Derivations of a grammar in normal form by length, ambiguity kept: totals and the derivation at a rank."""
+
+    def __init__(self, rules: list[tuple[str, list[str]]], start: str = "START"):
+        self.start = start
+        self.rules: dict[str, list[list[str]]] = {}
+        for lhs, rhs in sorted(rules):
+            self.rules.setdefault(lhs, []).append(rhs)
+        self._count: dict[tuple[str, int], int] = {}
+
+    def count(self, symbol: str, n: int) -> int:
+        """Derivations of n tokens from symbol."""
+        for m in range(1, n + 1):
+            for s in self.rules:
+                if (s, m) not in self._count:
+                    self._count[s, m] = sum(
+                        int(m == 1) if len(r) == 1 else sum(self._count.get((r[0], k), 0) * self._count.get((r[1], m - k), 0) for k in range(1, m)) for r in self.rules[s])
+        return self._count.get((symbol, n), 0)
+
+    def unrank(self, n: int, rank: int, symbol: str | None = None) -> list[str]:
+        """Tokens of the derivation at a rank in order of rules, then splits, then the parts' ranks."""
+        symbol = symbol or self.start
+        if not 0 <= rank < self.count(symbol, n):
+            raise IndexError(rank)
+        for r in self.rules[symbol]:
+            if len(r) == 1:
+                if n == 1:
+                    if rank == 0:
+                        return [r[0]]
+                    rank -= 1
+                continue
+            for k in range(1, n):
+                a, b = self.count(r[0], k), self.count(r[1], n - k)
+                if rank < a * b:
+                    return self.unrank(k, rank // b, r[0]) + self.unrank(n - k, rank % b, r[1])
+                rank -= a * b
+        raise IndexError(rank)
