@@ -131,7 +131,7 @@ def binary_rules(types: DataFrame, limit: int = 2_000) -> DataFrame:
 
 def correlated_rules(callables: DataFrame, types: DataFrame) -> DataFrame:
     """map(f, it): the callback's parameter and the iterable's element are one type; then list, tuple, sorted of iterables,
-    each step over the types the steps before made."""
+    each step over the types the steps before made; sorted also with reverse=, and reversed and heappop of lists."""
     import pandas as pd
 
     m = callables.filter(F.size("params") == 1).select("callable", "result", F.get("params", F.lit(0)).alias("p"))
@@ -155,11 +155,17 @@ def correlated_rules(callables: DataFrame, types: DataFrame) -> DataFrame:
 
         return run
 
+    reverse = lambda p: p.filter("exists(rhs, s -> s.value = 'sorted')").select(
+        "lhs", F.concat(F.slice("rhs", F.lit(1), F.size("rhs") - 1), F.array(*(g.symbol("T", x) for x in (",", "reverse", "="))), F.array(g.symbol("N", "A:bool"), g.symbol("T", ")"))).alias("rhs"))
     for name, as_list in (("tuple", False), ("list", True), ("sorted", True)):
         made = cut(pool.mapInPandas(wrap(name, as_list), f"{g.SCHEMA}, type string").distinct())
         rows = rows.unionByName(made.select("lhs", "rhs"))
         pool = cut(pool.unionByName(made.select("type")).distinct())
-    return rows.distinct()
+    item = F.regexp_extract("type", r"\Alist\[(.*)\]\z", 1)
+    lists = pool.filter(F.col("type").rlike(r"\Alist\[.*\]\z")).select("type", item.alias("item"))
+    back = g.productions(lists, e(F.concat(F.lit("reversed["), "item", F.lit("]"))), t("reversed"), t("("), n(e(F.col("type"))), t(")"))
+    least = g.productions(lists, e(F.col("item")), t("heappop"), t("("), n(e(F.col("type"))), t(")"))
+    return rows.unionByName(reverse(rows)).unionByName(back).unionByName(least).distinct()
 
 
 def family_rules(producers: DataFrame) -> DataFrame:

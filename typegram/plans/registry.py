@@ -16,4 +16,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from typegram.plans import corpus, grammars, joins, metrics, ngrams, pysources, streams  # noqa: E402, F401
+from typegram.plans import corpus, grammars, joins, metrics, ngrams, projections, pysources, streams  # noqa: E402, F401
