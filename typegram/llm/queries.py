@@ -84,22 +84,25 @@ def _measures(spark, sf_dir):
     runs = quantiles.by_dimension(
         table(spark, sf_dir, "aggregate_run"), "run_id", "total_cfg_intersection_seconds", "aggregate_run",
         dataset=F.col("dataset"), split=split, source=F.col("source"), day=F.to_date("reported_at"))
-    return ranks.unionByName(runs)
+    # one key column instead of three: every value is shuffled with it
+    return ranks.unionByName(runs).select(F.concat_ws("\x1f", "measure", "dim", "val").alias("key"), "x")
 
 
-GROUPS = ("measure", "dim", "val")
+def _key_part(i):
+    return F.get(F.split("key", "\x1f"), F.lit(i))
 
 
 @query("p4_percentiles")
 def p4_percentiles(spark, sf_dir):
-    return quantiles.percentiles(quantiles.sketch(_measures(spark, sf_dir), "x", GROUPS), GROUPS)
+    got = quantiles.percentiles(quantiles.sketch(_measures(spark, sf_dir), "x", ["key"]), ["key"])
+    return got.select(_key_part(0).alias("measure"), _key_part(1).alias("dim"), _key_part(2).alias("val"), *got.columns[1:])
 
 
 @query("p4_merged_days")
 def p4_merged_days(spark, sf_dir):
     """Months from the sketches of their days."""
-    days = quantiles.sketch(_measures(spark, sf_dir).filter("dim = 'day'"), "x", GROUPS)
-    months = days.select("measure", F.substring("val", 1, 7).alias("month"), "level", "nodes", "counts")
+    days = quantiles.sketch(_measures(spark, sf_dir).filter(_key_part(1) == "day"), "x", ["key"])
+    months = days.select(_key_part(0).alias("measure"), F.substring(_key_part(2), 1, 7).alias("month"), "level", "nodes", "counts")
     return quantiles.percentiles(quantiles.merged(months, ("measure", "month")), ("measure", "month"))
 
 
