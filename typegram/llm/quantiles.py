@@ -106,7 +106,7 @@ def _schema(df: DataFrame, groups: Sequence[str]) -> str:
 
 
 def sketch(df: DataFrame, value: str, groups: Sequence[str], weight: int = 1) -> DataFrame:
-    """groups, level, nodes, counts. weight -1 makes the sketch of rows to be taken away."""
+    """groups, level, nodes, counts, in parts that add up. weight -1 makes the sketch of rows to be taken away."""
     groups = list(groups)
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, code_of(F.col(value).cast("double")).alias("code"))
     hist = rows.groupBy(*groups, "code").agg((F.count("*") * weight).alias("w"))
@@ -122,8 +122,17 @@ def sketch(df: DataFrame, value: str, groups: Sequence[str], weight: int = 1) ->
             out.insert(i, g, [key[i]] * len(out))
         return out
 
-    parts = spread_out.groupBy(*groups, "part").applyInPandas(build, _schema(df, groups) + SKETCH)
-    return merged(parts, groups)
+    return spread_out.groupBy(*groups, "part").applyInPandas(build, _schema(df, groups) + SKETCH)
+
+
+def _added(level: int, nodes: Sequence, counts: Sequence) -> tuple[np.ndarray | None, np.ndarray]:
+    """Sum of the sketches of one level."""
+    kept = [(np.asarray(n, np.int64), np.asarray(c, np.int64)) for n, c in zip(nodes, counts, strict=True) if n is not None]
+    cells = [np.asarray(c, np.int64) for n, c in zip(nodes, counts, strict=True) if n is None]
+    n, c = _summed(np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])) if kept else (None, None)
+    if cells or n is not None and len(n) > EXACT:
+        return None, sum(cells, np.zeros(DEPTH * WIDTH, np.int64) if n is None else _sketched(n, c, level))
+    return n, c
 
 
 def merged(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -131,14 +140,7 @@ def merged(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     groups = list(groups)
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        level = int(key[-1])
-        kept = [(np.asarray(n, np.int64), np.asarray(c, np.int64)) for n, c in zip(pdf["nodes"], pdf["counts"], strict=True) if n is not None]
-        cells = [np.asarray(c, np.int64) for n, c in zip(pdf["nodes"], pdf["counts"], strict=True) if n is None]
-        nodes, counts = _summed(np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])) if kept else (None, None)
-        if cells or nodes is not None and len(nodes) > EXACT:
-            counts = sum(cells, np.zeros(DEPTH * WIDTH, np.int64) if nodes is None else _sketched(nodes, counts, level))
-            nodes = None
-        return pd.DataFrame([[*key[:-1], level, nodes, counts]], columns=[*groups, "level", "nodes", "counts"])
+        return pd.DataFrame([[*key, *_added(int(key[-1]), pdf["nodes"], pdf["counts"])]], columns=[*groups, "level", "nodes", "counts"])
 
     return sketches.select(*groups, "level", "nodes", "counts").groupBy(*groups, "level").applyInPandas(add, _schema(sketches, groups) + SKETCH)
 
@@ -175,12 +177,11 @@ def invert(levels: dict[int, tuple], wanted: Sequence[float]) -> tuple[int, list
 
 
 def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Sequence[float] = PERCENTILES) -> DataFrame:
-    """groups, n, p, estimate, rank_error, value_error of merged sketches; groups without values are left out."""
+    """groups, n, p, estimate, rank_error, value_error of sketches, merged or in parts; groups without values are left out."""
     groups, wanted = list(groups), [float(p) for p in wanted]
 
     def read(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        levels = {int(x): (None if n is None else np.asarray(n, np.int64), np.asarray(c, np.int64))
-                  for x, n, c in zip(pdf["level"], pdf["nodes"], pdf["counts"], strict=True)}
+        levels = {int(x): _added(int(x), part["nodes"], part["counts"]) for x, part in pdf.groupby("level")}
         n, values = invert(levels, wanted)
         exact = all(x[0] is not None for x in levels.values())
         rows = [[*key, n, p, v, 0.0 if exact else RANK_ERROR, VALUE_ERROR] for p, v in zip(wanted, values, strict=True) if n > 0]
