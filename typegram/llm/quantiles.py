@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from typegram.session import written
+
 BITS, DEPTH, WIDTH = 26, 5, 4096
 EXACT = DEPTH * WIDTH // 2
 RANK_ERROR, VALUE_ERROR = 0.01, 2.0 ** -(BITS - 12)
@@ -109,7 +111,7 @@ def sketch(df: DataFrame, value: str, groups: Sequence[str], weight: int = 1) ->
     """groups, level, nodes, counts, in parts that add up. weight -1 makes the sketch of rows to be taken away."""
     groups = list(groups)
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, code_of(F.col(value).cast("double")).alias("code"))
-    hist = rows.groupBy(*groups, "code").agg((F.count("*") * weight).alias("w"))
+    hist = written(rows.groupBy(*groups, "code").agg((F.count("*") * weight).alias("w")))  # read twice
     spread = hist.groupBy(*groups).agg((F.floor(F.count("*") / CODES_A_TASK) + 1).alias("tasks"))
     a, b = hist.alias("a"), spread.alias("b")
     on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
