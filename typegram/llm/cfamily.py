@@ -50,6 +50,8 @@ CPP_KEYWORDS = frozenset(
 _LITERAL_WORDS = frozenset(("true", "false", "null", "nullptr"))
 #: Where a statement may begin, yield is one.
 _BEFORE_YIELD = frozenset(("{", "}", ";", "->", ")", ":"))
+#: A closing angle, alone or right after another.
+_CLOSE = frozenset((">", ">g"))
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -65,7 +67,7 @@ def lex(text: str, java: bool, names: dict[int, str] | None = None) -> list[str]
     keywords = JAVA_KEYWORDS if java else CPP_KEYWORDS
     kinds: list[str] = []
     add = kinds.append
-    at = 0
+    at, string, greater = 0, False, -1
     for m in (_JAVA_LEX if java else _CPP_LEX).finditer(text):
         if m.start() != at:
             raise Bad("character")
@@ -73,6 +75,7 @@ def lex(text: str, java: bool, names: dict[int, str] | None = None) -> list[str]
         g = m.lastgroup
         if g is None:
             continue
+        after_string, string = string, False
         if g == "w":
             w = m.group()
             if java and w == "yield" and kinds and kinds[-1] in _BEFORE_YIELD:
@@ -82,9 +85,18 @@ def lex(text: str, java: bool, names: dict[int, str] | None = None) -> list[str]
                     names[len(kinds)] = w
                 add("l" if w in _LITERAL_WORDS else w if w in keywords else "i")
         elif g == "o":
-            add(m.group())
+            o = m.group()
+            if o[0] in ">=" and greater == m.start():  # part of >> >= and the like; closing angles go one by one
+                if o == "==":
+                    raise Bad("sign")
+                o += "g"
+            if o[0] == ">":
+                greater = at
+            add(o)
         else:
-            add("l")
+            string = not java and text[at - 1] == '"'
+            if not (string and after_string):  # adjacent strings are one
+                add("l")
     if at != len(text):
         raise Bad("character")
     add("eof")
@@ -118,6 +130,14 @@ _CPP_PRIMITIVE = frozenset("bool char char8_t char16_t char32_t wchar_t short in
 _CPP_SPECIFIER = frozenset(
     "const volatile static constexpr consteval constinit inline extern mutable register virtual explicit friend thread_local typename typedef".split())
 _JAVA_MODIFIER = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default".split())
+def _sane(words: list[str]) -> bool:
+    """Whether primitive words make one type, such as unsigned long long int."""
+    base = [w for w in words if w not in ("signed", "unsigned", "short", "long")]
+    longs = words.count("long")
+    return len(base) <= 1 and longs <= 2 and words.count("short") <= 1 and words.count("signed") + words.count("unsigned") <= 1 and not (
+        base and base[0] not in ("int", "char", "double")) and not (longs and "short" in words)
+
+
 _SEEN: dict[tuple[bool, str], bool] = {}
 _SEEN_LIMIT = 200_000
 
@@ -168,12 +188,14 @@ class Parser:
             return p
         start = p
         core = False
+        words: list[str] = []
         while True:
             if k[p] in _CPP_SPECIFIER:
                 p += 1
                 if k[p - 1] == "explicit" and k[p] == "(":
                     p = self.m[p] + 1
-            elif k[p] in _CPP_PRIMITIVE:
+            elif k[p] in _CPP_PRIMITIVE and (core is False or core is True and words):
+                words.append(k[p])
                 core, p = True, p + 1
             elif k[p] in ("struct", "class", "enum", "union") and not core and k[p + 1] == "i":
                 p += 1
@@ -186,7 +208,7 @@ class Parser:
                 core = True
             else:
                 break
-        if not core:
+        if not core or len(words) > 1 and not _sane(words):
             return -1
         if pointers:
             while k[p] in ("*", "&", "&&", "const", "volatile", "..."):
@@ -200,7 +222,7 @@ class Parser:
         if k[p] != "<":
             return p
         p += 1
-        if k[p] == ">":
+        if k[p] in _CLOSE:
             return p + 1 if diamond or not self.java else -1
         while True:
             if self.java:
@@ -233,7 +255,7 @@ class Parser:
                 return none
             if k[q] == ",":
                 p = q + 1
-            elif k[q] == ">":
+            elif k[q] in _CLOSE:
                 return q + 1
             else:
                 return none
@@ -246,9 +268,12 @@ class Parser:
             while True:
                 t = k[p]
                 if t == ">":
-                    p += 1
-                    while k[p] in (">", "=", "=="):
-                        p += 1
+                    n = 1
+                    while k[p + n] == ">g":
+                        n += 1
+                    if n > 2 + self.java:
+                        raise Bad("sign")
+                    p += n + (k[p + n] == "=g")
                 elif t in _BINARY:
                     p += 1
                     if t in _ASSIGN and k[p] == "{" and not self.java:
@@ -357,12 +382,7 @@ class Parser:
                 return self.postfix(p + 1)
             return self.cpp_name(p)
         if t == "l":
-            p += 1
-            while not java and k[p] in ("l", "i") and k[p - 1] == "l":  # adjacent strings, or a string macro
-                if k[p] == "i":
-                    raise Bad("operator expected")
-                p += 1
-            return self.postfix(p)
+            return self.postfix(p + 1)
         if t in ("this", "super"):
             return self.postfix(p + 1)
         if t == "new":
@@ -773,16 +793,13 @@ class Parser:
                 at = self.m[at]
             elif t == "<" and k[at - 1] == ".":
                 at = self.targs(at) - 1
-            elif t == ">" and k[at + 1] == "=" and k[at - 1] != ">":
-                compared = True  # >=
-                at += 1
-            elif t == ">" and k[at + 1] == ">":
-                compared, at = compared or k[at + 2] not in ("=", ">"), at + (k[at + 2] in ("=", ">"))
-            elif t in _ASSIGN or t == ">" and k[at + 1] == "=":
+            elif t in _ASSIGN or t == "=g" and k[at - 1] == ">g":
                 if binary or compared:
                     raise Bad("not a variable")
                 assign = True
                 break
+            elif t == ">" and k[at + 1] == ">g":
+                binary = binary or k[at + 2] != "=g" and (k[at + 2] != ">g" or k[at + 3] != "=g")
             elif t in ("<", ">"):
                 compared = True
             elif t in _BINARY or t in ("?", "instanceof"):
@@ -1175,7 +1192,7 @@ class Parser:
                 p = self.m[p]
             elif k[p] == "<":
                 depth += 1
-            elif k[p] == ">":
+            elif k[p] in _CLOSE:
                 depth -= 1
                 if not depth:
                     return p + 1
@@ -1280,12 +1297,15 @@ class Parser:
         return self.k[self.m[p] + 1] != ","
 
     def is_body(self, p: int) -> bool:
-        return self.k[p] in ("{", ":", "const", "noexcept", "->", "try") or self.k[p] == "i" and self.k[p + 1] in ("{", ";")
+        return self.k[p] in ("{", ":", "const", "noexcept", "->", "try") or self.is_virtual_mark(p)
+
+    def is_virtual_mark(self, p: int) -> bool:
+        return self.k[p] == "i" and self.names.get(p) in ("override", "final")
 
     def cpp_function(self, p: int) -> int:
         k = self.k
         p = self.cpp_params(p)
-        while k[p] in ("const", "noexcept", "volatile", "&", "&&", "i", "throw", "requires"):
+        while k[p] in ("const", "noexcept", "volatile", "&", "&&", "throw", "requires") or self.is_virtual_mark(p):
             p += 1
             if k[p] == "(":
                 p = self.m[p] + 1
@@ -1364,13 +1384,13 @@ def remember(key: tuple[bool, str]) -> None:
 
 def parses(text: str, java: bool) -> bool:
     try:
-        names: dict[int, str] | None = {} if java else None
+        names: dict[int, str] = {}
         kinds = lex(text, java, names)
         kinds += ["eof"] * 4
         if java:
             JavaParser(kinds, True, names).java_unit()
         else:
-            Parser(kinds, False).cpp_unit()
+            Parser(kinds, False, names).cpp_unit()
     except (Bad, RecursionError, KeyError):
         return False
     return True
