@@ -30,14 +30,14 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def transitive(edges: DataFrame) -> DataFrame:
     """src, dst of all paths of one edge or more, in about log2(diameter) rounds.
 
-    Semi-naive doubling: pairs of the last round are joined on both sides with all pairs.
+    Semi-naive doubling: the pairs found last, continued by all pairs. A shortest path of more than 2**k and at most
+    2**(k + 1) edges begins with a shortest one of 2**k, which the last round found.
     """
     paths = delta = cut(edges.select("src", "dst").distinct())
     for _ in _rounds():
         d, p = delta.alias("d"), paths.alias("p")
-        right = d.join(p, F.col("d.dst") == F.col("p.src")).select("d.src", "p.dst")
-        left = p.join(d, F.col("p.dst") == F.col("d.src")).select("p.src", "d.dst")
-        delta = cut(right.unionByName(left).distinct().join(paths, ["src", "dst"], "left_anti"))
+        longer = d.join(p, F.col("d.dst") == F.col("p.src")).select("d.src", "p.dst").distinct()
+        delta = cut(longer.join(paths, ["src", "dst"], "left_anti"))
         if delta.isEmpty():
             return paths
         paths = cut(paths.unionByName(delta))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from typegram.operators import closure, cnf, counts, cyk, grammar, language, prune
+from typegram.operators.ordering import take_per
 from typegram.plans.registry import query
 from typegram.session import table
 
@@ -157,21 +158,19 @@ def binarised_calls(spark, sf_dir):
     return cnf.binarised(calls(spark, sf_dir)).select("lhs", grammar.rhs_text().alias("rhs_text"))
 
 
-#: Nations that buy more from another than their mean: a directed graph over the whole trade.
+#: Every nation with the three it buys most from: a directed graph over the whole trade.
 _TRADE = """
 flow AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
  JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-trade AS (SELECT src, dst FROM (SELECT *, avg(q) OVER (PARTITION BY src) AS m FROM flow) WHERE q > 1.6 * m)"""
+trade AS (SELECT src, dst FROM flow QUALIFY row_number() OVER (PARTITION BY src ORDER BY q DESC, dst) <= 3)"""
 
 
 def trade(spark, sf_dir):
-    from pyspark.sql import Window
-
     t = lambda n: table(spark, sf_dir, n)
     buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
     lines = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_quantity", F.col("s_nationkey").alias("dst"))
     flow = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.sum("l_quantity").alias("q"))
-    return flow.withColumn("m", F.avg("q").over(Window.partitionBy("src"))).filter("q > 1.6 * m").select("src", "dst")
+    return take_per(flow, ["src"], [F.desc("q"), F.col("dst")], 3).select("src", "dst")
 
 
 _TRADE_CLOSURE = f"""{_TRADE}, c(src, dst) AS (SELECT src, dst FROM trade UNION SELECT c.src, t.dst FROM c JOIN trade t ON t.src = c.dst)"""
