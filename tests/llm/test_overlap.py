@@ -125,3 +125,43 @@ def test_profiles_bound_the_overlap():
             common = sum((Counter(texts[i]) & Counter(texts[j])).values())
             assert overlap.may_overlap(p[i:i + 1], p[j:j + 1], np.array([common]))[0]
     assert not overlap.may_overlap(p[:1] * 0, p[1:2], np.array([1]))[0]
+
+
+def across(rows):
+    """All near pairs across the splits by the exact check alone."""
+    import numpy as np
+
+    names = overlap._Names()
+    packed = [(i, np.array([names[w] for w in t.split()], "<u4").tobytes(), s) for i, t, s in rows]
+    return {(min(i, j), max(i, j)) for i, a, s in packed for j, b, u in packed
+            if s == "test" and u == "train" and overlap.common_words(a, b) * 5 >= 4 * (max(len(a), len(b)) // 4)}
+
+
+def family(seed, size, words=120, edits=6):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for k in range(size):
+        t = list(base)
+        for p in rng.sample(range(words), edits):
+            t[p] = f"x{k}y{p}"
+        rows.append((k, " ".join(t), "train" if k % 2 else "test"))
+    return rows
+
+
+def test_large_family_of_near_copies_is_whole(spark):
+    rows = family(3, 200)
+    want = across(rows)
+    assert len(want) == 100 * 100
+    assert found(frame(spark, rows)) == want
+
+
+def test_longer_names_and_blocks_lose_nothing(spark, monkeypatch):
+    rows = corpus(4, n=48, families=4) + [(k + 1000, t, s) for k, t, s in family(5, 30, words=40, edits=3)]
+    want = brute(rows)
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    assert found(frame(spark, rows), cap=2) == want
+    monkeypatch.setattr(overlap, "WORTH", 0)
+    monkeypatch.setattr(overlap, "SPREAD", 1000)
+    monkeypatch.setattr(overlap, "AGAIN", -1)
+    assert found(frame(spark, rows), cap=2) == want

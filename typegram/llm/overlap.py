@@ -1,14 +1,13 @@
-"""Same or near-same records across splits, from a partitioned suffix array.
+"""Same or near-same records across splits, from the rarest words of every text.
 
-The suffixes of all texts start at sampled words (the minimisers of K-word shingles, which agree wherever a run of
-K + W - 1 words agrees). Instead of whole suffixes the array holds the names of their prefixes of 3, 8, 20 and 61
-words, as prefix doubling does, so texts that share a prefix are neighbours. It is routed by the first name (hot ones,
-such as licence texts, by the first two), and in each partition the shallowest interval of at most CAP different texts
-pairs the texts of its two sides that are of like length and whose word profiles leave room for the overlap (an upper
-bound, so no pair is lost by it). Deepest intervals above CAP go to a plain join of the two sides: no partner is cut.
-Candidate pairs are then checked exactly by the longest common subsequence of words.
-
-Texts of at most SHORT words start a suffix at every word and from 2 words on.
+Each text is taken once (one row per text_key, with all its sides) as the set of its words, repeats numbered, in one order
+for all texts: rarest first, as a sketch of the words' document frequencies says (any order is right, a good one is fast).
+A near pair has four fifths of the longer text in common. So the first word they share stands among the first
+n - ceil(0.8 n) + 1 of either, and a text listed under these meets every partner. Where a list is long and it costs
+less, its texts are listed under the first two, three or four shared words instead, whose places are bounded likewise; lists
+that are still large are joined in blocks by several tasks. No list is cut, and no pair depends on its size.
+Within a list, length, place and a word profile bound the overlap from above, so no pair is lost by them. Candidate pairs
+are then checked exactly by the longest common subsequence of words.
 
 Defined cases: rows with NULL or undecodable data, without letter or digit, with another split or a NULL id belong to no
 pair; texts repeated under several ids are compared once and all their ids are paired; an empty table gives no rows.
@@ -31,16 +30,17 @@ from typegram.llm.copies import canonical_json, linked_keys
 from typegram.session import written
 
 WORD = re.compile(r"[^\W_]+")
-K, W, CAP, SHORT = 3, 12, 64, 64
-DEPTHS = (K, 8, 20, 61)
-SHORT_DEPTHS = (2, 5, 13, 29)
-#: A first name with more than this share of a task's suffixes is hot in that task; a name hot overall is hot in some task.
-HOT_SHARE = 1000
+#: Lists of at most CAP texts are joined as they are; of others, blocks of BLOCK by BLOCK texts are one piece of work.
+CAP, BLOCK = 64, 4096
+#: Shared words a list may be named by, how many longer names a text may get for one on average, pairs worth one of them, and
+#: pairs worth looking at a listing once more.
+LEVELS, SPREAD, WORTH, AGAIN = 4, 8, 60, 4
+#: Counters of the sketch, most long lists per level, and words taken at once.
+COUNTERS_LOG2, LONG_LISTS, PIECE = 20, 500_000, 200_000
 SIMILAR = 0.8
 TRAIN, EVAL = 1, 2
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -84,26 +84,14 @@ def tokens(df: DataFrame, id_col: str, data: str, side: Column) -> DataFrame:
     return written(rows.mapInPandas(_tokens, f"id {kind}, side int, p binary, c binary, text_key bigint, n int, words binary"))
 
 
-def _prefix_names(a: np.ndarray, pos: np.ndarray, end: np.ndarray, depths: tuple[int, ...]) -> list[np.ndarray]:
-    """64-bit names of the prefixes of the suffixes at pos, cut at the end of their text."""
-    size = len(a) + 1
-    power = np.ones(size, dtype=np.uint64)
-    power[1:] = _BASE
-    power = np.cumprod(power)
-    inverse = np.ones(size, dtype=np.uint64)
-    inverse[1:] = _BASE_INV
-    inverse = np.cumprod(inverse)
-    mixed = (a.astype(np.uint64) + np.uint64(1)) * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    total = np.zeros(size, dtype=np.uint64)
-    np.cumsum(mixed * power[:-1], out=total[1:])
-    out = []
-    for depth in depths:
-        to = np.minimum(pos + depth, end)
-        h = (total[to] - total[pos]) * inverse[pos] + (to - pos).astype(np.uint64) * _MIX
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(h ^ (h >> np.uint64(30)))
-    return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(30))
+
+
+def least_common(n: np.ndarray) -> np.ndarray:
+    """Words that a text of n words must share with a near copy of at most n words: four fifths, rounded up."""
+    return (4 * n + 4) // 5
 
 
 def profiles(a: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
@@ -114,154 +102,211 @@ def profiles(a: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
     return c[:, ::2] << 4 | c[:, 1::2]
 
 
-def may_overlap(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Whether texts of these profiles can have `least` words in common: the classes' lesser counts bound it from above."""
+def may_overlap(x: np.ndarray, y: np.ndarray, least: np.ndarray, nx: np.ndarray | None = None, ny: np.ndarray | None = None) -> np.ndarray:
+    """Whether texts of these profiles can have `least` words in common: the classes' lesser counts bound it from above, and
+    given the texts' lengths, so do the words of either that the other has no room for."""
     total, open_end = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    over, under = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     for a, b in ((x >> 4, y >> 4), (x & 15, y & 15)):
         low = np.minimum(a, b)
         total += low.sum(axis=1, dtype=np.int64)
         open_end |= (low == 15).any(axis=1)
-    return open_end | (total >= least)
-
-
-def suffixes(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    """The sampled suffixes of a batch of texts: names h0 to h3, text key, side, length and profile of the text."""
-    lens = pdf["n"].to_numpy(np.int64)
-    a = np.frombuffer(b"".join(pdf["words"]), dtype="<u4")
-    ends = np.cumsum(lens)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    at, end = np.arange(len(a)), np.repeat(ends, lens)
-    parts = []
-    profile = np.array([x.tobytes() for x in profiles(a, doc, len(lens))] + [None], dtype=object)
-    long_doc = lens > SHORT * SIMILAR  # both kinds near the border, as partners differ in length
-    # long texts: minimisers
-    (h,) = _prefix_names(a, at, end, (K,))
-    full = (at + K <= end) & long_doc[doc]
-    hv = np.where(full, h, np.uint64(0xFFFFFFFFFFFFFFFF))
-    chosen = np.zeros(len(a), dtype=bool)
-    if len(a) >= W:
-        windows = np.lib.stride_tricks.sliding_window_view(hv, W)
-        s = np.arange(len(windows))
-        inside = full[s] & (s + W - 1 + K <= end[s])
-        s = s[inside]
-        chosen[s + windows[s].argmin(axis=1)] = True
-    few = long_doc & (lens - K + 1 < W)
-    chosen |= full & few[doc]
-    for pos, depths in ((at[chosen], DEPTHS), (at[(lens <= SHORT)[doc] & ((at + 2 <= end) | (lens == 1)[doc])], SHORT_DEPTHS)):
-        names = _prefix_names(a, pos, end[pos], depths)
-        if depths is SHORT_DEPTHS:
-            names = [x ^ np.uint64(0x5851F42D4C957F2D) for x in names]
-        d = doc[pos]
-        parts.append((*names, pdf["text_key"].to_numpy()[d], pdf["side"].to_numpy(np.int8)[d], lens[d].astype(np.int32), profile[d]))
-    cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return {"h0": cols[0].view(np.int64), **{f"h{i}": (cols[i] >> np.uint64(32)).astype(np.uint32).view(np.int32) for i in (1, 2, 3)},
-            "text_key": cols[4], "side": cols[5], "n": cols[6], "profile": cols[7]}
-
-
-def _suffix_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame(suffixes(pdf))
+        if nx is not None:
+            over += np.where(b < 15, a - low, 0).sum(axis=1, dtype=np.int64)
+            under += np.where(a < 15, b - low, 0).sum(axis=1, dtype=np.int64)
+    fits = open_end | (total >= least)
+    return fits if nx is None else fits & (nx - over >= least) & (ny - under >= least)
+
 
+def numbered_words(a: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """64-bit names of (word, which of its occurrences in the text), by text."""
+    a = a[np.lexsort((a, doc))].astype(np.uint64)
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
+    start = np.flatnonzero(new)
+    nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    return _mixed((a + np.uint64(1)) * _MIX + nth.astype(np.uint64) * _BASE)
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts at a time: rows, their lengths, all their words and the text of each word."""
+    for pdf in batches:
+        piece = np.cumsum(pdf["n"].to_numpy(np.int64)) // PIECE
+        for _, rows in pdf.groupby(piece, sort=False):
+            lens = rows["n"].to_numpy(np.int64)
+            yield rows, lens, np.frombuffer(b"".join(rows["words"]), dtype="<u4"), np.repeat(np.arange(len(lens)), lens)
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)
+
+
+def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
+    for _, _, a, doc in _pieces(batches):
+        counts += np.bincount(_counter(numbered_words(a, doc)), minlength=len(counts))
+    for i, part in enumerate(counts.reshape(16, -1)):
+        if part.any():
+            yield pd.DataFrame({"part": [i], "counts": [part.astype("<i4").tobytes()]})
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["counts"])
+    return pd.DataFrame({"part": pdf["part"][:1], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """Upper bounds of the texts that hold a word, by the first bits of its name."""
+    parts = texts.select("n", "words").mapInPandas(_sketched, "part int, counts binary").groupBy("part").applyInPandas(_added, "part int, counts binary")
+    out = np.zeros((16, (1 << COUNTERS_LOG2) // 16), np.int32)
+    for r in parts.collect():
+        out[r.part] = np.frombuffer(r.counts, "<i4")
+    return out.reshape(-1)
+
+
+def _places(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x stand in a sorted array, and where."""
+    if not len(among):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return among[at] == x, at
+
+
+def listings(lens: np.ndarray, a: np.ndarray, doc: np.ndarray, often: np.ndarray, longer: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The lists of each text, by the number of shared words that name them: name, text, words after the last one, words that
+    a longer name could add, frequency of the first word. longer: per level the lists that are named by one word more."""
+    h = numbered_words(a, doc)
+    h = h[np.lexsort((h, doc << 32 | often[_counter(h)]))]
+    place = np.arange(len(h)) - (np.cumsum(lens) - lens)[doc]
+    spare = lens - least_common(lens)
+    at = np.flatnonzero(place <= spare[doc])
+    name, first = h[at], often[_counter(h[at])]
+    for level in range(1, len(longer) + 2):
+        d = doc[at]
+        more = np.minimum(spare[d] + level, lens[d] - 1) - place[at]  # the next shared word is one of so many
+        split = _places(name, longer[level - 1])[0] if level <= len(longer) else np.zeros(len(at), bool)
+        keep = ~split
+        yield name[keep], d[keep], lens[d[keep]] - 1 - place[at[keep]], more[keep], first[keep]
+        at, name, first, more = at[split], name[split], first[split], more[split]
+        of = np.repeat(np.arange(len(at)), more)
+        at = at[of] + 1 + np.arange(len(of)) - (np.cumsum(more) - more)[of]
+        name, first = _mixed(name[of] * _BASE + h[at]), first[of]
+
+
+def _list_sizes(often: np.ndarray, longer: list[np.ndarray], cap: int):
+    """Sizes of the lists named by len(longer) + 1 words, those left out that cannot be long."""
 
-def _locally_hot(share: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts, total = np.empty(0, np.int64), np.empty(0, np.int64), 0
-        for pdf in batches:
-            h, c = np.unique(suffixes(pdf)["h0"], return_counts=True)
-            total += int(c.sum())
-            keys, back = np.unique(np.concatenate([keys, h]), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, c])).astype(np.int64)
-            if len(keys) > 2_000_000:  # only what may still be hot; every drop lowers a count by what it lost at most
-                keep = counts > total / share / 8
-                keys, counts = keys[keep], counts[keep]
-        hot = counts > max(total / share / 2, least)
-        yield pd.DataFrame({"h0": keys[hot]})
+        for rows, lens, a, doc in _pieces(batches):
+            *_, (name, d, _, more, first) = listings(lens, a, doc, often, longer)
+            may = first > cap
+            side = rows["side"].to_numpy(np.int64)[d[may]]
+            if len(side):
+                x = pd.DataFrame({"name": name[may].view(np.int64), "e": (side & EVAL > 0).astype(np.int64), "t": (side & TRAIN > 0).astype(np.int64),
+                                  "texts": 1, "more": more[may]})
+                yield x.groupby("name", as_index=False, sort=False).sum()
 
     return run
 
 
-def _intervals(cap: int):
-    """Pairs of an evaluation and a training text that share an interval of the array, and rows of intervals above cap."""
-
+def _listed(often: np.ndarray, longer: list[np.ndarray], wide: dict[str, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [x for x in batches if len(x)]
-        if not frames:
-            return
-        f = {c: np.concatenate([x[c].to_numpy() for x in frames]) for c in frames[0].columns}
-        del frames
-        order = np.lexsort((f["text_key"], f["h3"], f["h2"], f["h1"], f["h0"]))
-        f = {c: v[order] for c, v in f.items()}
-        h = [f[f"h{i}"] for i in range(4)]
-        # one row per text and deepest interval, with all its sides
-        same = np.ones(len(order), dtype=bool)
-        same[0] = False
-        for c in ("h0", "h1", "h2", "h3", "text_key"):
-            same[1:] &= f[c][1:] == f[c][:-1]
-        first = np.flatnonzero(~same)
-        side = np.bitwise_or.reduceat(f["side"].astype(np.int64), first)
-        h = [x[first] for x in h]
-        key, n = f["text_key"][first], f["n"][first].astype(np.int64)
-        profile = np.frombuffer(b"".join(f.pop("profile")[first]), np.uint8).reshape(-1, 32)
-        open_ = np.ones(len(first), dtype=bool)  # not yet in a small enough interval
-        a_out, b_out, rest = [], [], np.zeros(len(first), dtype=bool)
-        change = np.zeros(len(first), dtype=bool)
-        change[0] = True
-        for depth in range(4):
-            change[1:] |= h[depth][1:] != h[depth][:-1]
-            begin = np.flatnonzero(change)
-            size = np.diff(np.append(begin, len(first)))
-            of = np.repeat(np.arange(len(begin)), size)
-            now = open_ & (size <= cap)[of]
-            open_ &= ~now
-            idx = np.flatnonzero(now & (size > 1)[of])
-            if len(idx):
-                start = begin[of[idx]]
-                for step in range(1, int(size[of[idx]].max())):  # partners at this distance round the interval
-                    partner = idx + step
-                    ok = partner < start + size[of[idx]]
-                    x, y = idx[ok], partner[ok]
-                    for p, q in ((x, y), (y, x)):
-                        good = (side[p] & EVAL > 0) & (side[q] & TRAIN > 0) & (key[p] != key[q]) & (
-                            np.minimum(n[p], n[q]) >= SIMILAR * np.maximum(n[p], n[q]))
-                        p, q = p[good], q[good]
-                        for i in range(0, len(p), 100_000):
-                            u, v = p[i:i + 100_000], q[i:i + 100_000]
-                            fits = may_overlap(profile[u], profile[v], np.ceil(SIMILAR * np.maximum(n[u], n[v]) - 1e-9))
-                            a_out.append(key[u[fits]])
-                            b_out.append(key[v[fits]])
-        rest = open_
-        if a_out:
-            pairs = pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)}).drop_duplicates()
-            yield pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "h": np.int64(0), "side": np.int32(0), "n": np.int32(0)})
-        if rest.any():
-            name = h[0] ^ (h[1].astype(np.int64) << 32) ^ (h[2].astype(np.int64) << 13) ^ h[3].astype(np.int64)
-            yield pd.DataFrame({"a": key[rest], "b": np.int64(0), "h": name[rest], "side": side[rest].astype(np.int32), "n": n[rest].astype(np.int32)})
+        for rows, lens, a, doc in _pieces(batches):
+            key, side = rows["text_key"].to_numpy(np.int64), rows["side"].to_numpy(np.int8)
+            profile = np.array([x.tobytes() for x in profiles(a, doc, len(lens))] + [None], dtype=object)
+            for level, (name, d, after, _, _) in enumerate(listings(lens, a, doc, often, longer), 1):
+                is_wide, at = _places(name, wide["name"])
+                parts = [(name[~is_wide], d[~is_wide], after[~is_wide], side[d[~is_wide]])]
+                if is_wide.any():  # own block of the own side, all blocks of the other
+                    name, d, after, at = name[is_wide], d[is_wide], after[is_wide], at[is_wide]
+                    for bit, own, other in ((EVAL, "e", "t"), (TRAIN, "t", "e")):
+                        i = np.flatnonzero(side[d] & bit)
+                        mine = (_mixed(key[d[i]].view(np.uint64)) % wide[own][at[i]].astype(np.uint64)).astype(np.int64)
+                        of = np.repeat(np.arange(len(i)), wide[other][at[i]])
+                        count = wide[other][at[i]]
+                        others = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+                        e, t = (mine[of], others) if bit == EVAL else (others, mine[of])
+                        block = _mixed(name[i[of]] + (e.astype(np.uint64) << np.uint64(32)) * _MIX + t.astype(np.uint64) * _BASE)
+                        parts.append((block, d[i[of]], after[i[of]], np.full(len(of), bit, np.int8)))
+                for name_, d_, after_, side_ in parts:
+                    if len(name_):
+                        yield pd.DataFrame({"name": name_.view(np.int64), "text_key": key[d_], "side": side_, "level": np.int8(level), "n": lens[d_].astype(np.int32),
+                                            "after": after_.astype(np.int32), "profile": profile[d_]})
 
     return run
 
 
-def candidates(tok: DataFrame, cap: int = CAP) -> DataFrame:
-    """a, b: keys of an evaluation text and a training text that share a sampled suffix prefix and are of like length."""
-    spark = tok.sparkSession
-    source = tok.select("text_key", "side", "n", "words")
-    schema = "h0 bigint, h1 int, h2 int, h3 int, text_key bigint, side tinyint, n int, profile binary"
-    hot = source.mapInPandas(_locally_hot(HOT_SHARE, 10_000), "h0 bigint").distinct()  # at most 2 * HOT_SHARE a task
-    hot = written(hot)
-    words = tok.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words * 2 / (W + 1) / 500_000) + 1)
-    array = source.mapInPandas(_suffix_batches, schema)
-    if not hot.isEmpty():
-        flagged = array.join(hot.withColumn("is_hot", F.lit(True)), "h0", "left")
-        array = flagged.repartition(parts, "h0", F.when(F.col("is_hot"), F.col("h1"))).drop("is_hot")
-    else:
-        array = array.repartition(parts, "h0")
-    found = written(array.mapInPandas(_intervals(cap), "a bigint, b bigint, h bigint, side int, n int"))
-    small = found.filter("side = 0").select("a", "b")
-    rest = found.filter("side <> 0").select("h", F.col("a").alias("key"), "side", "n").distinct()
-    e = rest.filter(f"side & {EVAL} <> 0").select("h", F.col("key").alias("a"), F.col("n").alias("na"))
-    t = rest.filter(f"side & {TRAIN} <> 0").select("h", F.col("key").alias("b"), F.col("n").alias("nb"))
-    large = e.join(t, "h").filter(f"a <> b AND least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b")
-    return small.unionByName(large).distinct()
+def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of an evaluation and a training text of one list that leave room for four fifths."""
+    frames = [x for x in batches if len(x)]
+    if not frames:
+        return
+    f = {c: np.concatenate([x[c].to_numpy() for x in frames]) for c in frames[0].columns}
+    del frames
+    profile = np.frombuffer(b"".join(f.pop("profile")), np.uint8).reshape(-1, 32)
+    key, n, after, level = f["text_key"], f["n"].astype(np.int64), f["after"], f["level"]
+    of = np.unique(f["name"], return_inverse=True)[1].astype(np.int64) << 32
+    e, t = np.flatnonzero(f["side"] & EVAL), np.flatnonzero(f["side"] & TRAIN)
+    t = t[np.argsort(of[t] | n[t], kind="stable")]
+    by = of[t] | n[t]
+    low, high = np.searchsorted(by, of[e] | least_common(n[e]), "left"), np.searchsorted(by, of[e] | 5 * n[e] // 4, "right")
+    e, low, count = e[high > low], low[high > low], (high - low)[high > low]
+    ends = np.cumsum(count)
+    done, a_out, b_out, held = 0, [], [], 0
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)}).drop_duplicates()
+
+    while done < len(e):
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 500_000, "right")))
+        c = count[done:to]
+        x = np.repeat(e[done:to], c)
+        y = t[np.repeat(low[done:to] - (np.cumsum(c) - c), c) + np.arange(len(x))]
+        done = to
+        least = least_common(np.maximum(n[x], n[y]))
+        good = (key[x] != key[y]) & (level[x] + np.minimum(after[x], after[y]) >= least)
+        x, y, least = x[good], y[good], least[good]
+        fits = may_overlap(profile[x], profile[y], least, n[x], n[y])
+        a_out.append(key[x[fits]])
+        b_out.append(key[y[fits]])
+        held += len(a_out[-1])
+        if held > 2_000_000:
+            yield out()
+            a_out, b_out, held = [], [], 0
+    if held:
+        yield out()
+
+
+def candidates(texts: DataFrame, cap: int = CAP) -> DataFrame:
+    """a, b: keys of an evaluation text and a training text that share a word they must share, and may share four fifths."""
+    spark = texts.sparkSession
+    texts = texts.filter("n > 1")  # one word: near copies are equal
+    often = frequencies(texts)
+    rows = texts.select(F.sum(F.expr("n - (4 * n + 4) div 5 + 1"))).first()[0] or 0
+    longer: list[np.ndarray] = []
+    wide = pd.DataFrame({"name": [], "e": [], "t": []}, dtype=np.int64)
+    level_rows = rows
+    for level in range(1, LEVELS + 1):
+        least = max(cap, level_rows // LONG_LISTS)
+        sizes = texts.select("side", "n", "words").mapInPandas(_list_sizes(often, longer, least), "name bigint, e bigint, t bigint, texts bigint, more bigint")
+        long = sizes.groupBy("name").agg(*(F.sum(c).alias(c) for c in ("e", "t", "texts", "more"))).filter(
+            f"texts > {least} AND e > 0 AND t > 0").toPandas().astype(np.int64)
+        split = (long["e"] * long["t"] > WORTH * long["more"]) & (long["more"] <= SPREAD * long["texts"]) & (level < LEVELS)
+        split &= bool((long["e"] * long["t"])[split].sum() > AGAIN * rows)
+        whole = long[~split & (long["e"] * long["t"] > BLOCK * BLOCK)]
+        wide = pd.concat([wide, whole[["name", "e", "t"]]])
+        rows += int((whole["texts"] * (-(-whole["e"] // BLOCK) + -(-whole["t"] // BLOCK))).sum())
+        if not split.any():
+            break
+        level_rows = int(long["more"][split].sum())
+        rows += level_rows
+        longer.append(np.sort(long["name"][split].to_numpy().view(np.uint64)))
+    wide["name"] = wide["name"].to_numpy().view(np.uint64)
+    wide = wide.sort_values("name")
+    blocks = {"name": wide["name"].to_numpy(), **{c: -(-wide[c].to_numpy() // BLOCK) for c in "et"}}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 500_000 + 1)
+    lists = texts.mapInPandas(_listed(often, longer, blocks), "name bigint, text_key bigint, side tinyint, level tinyint, n int, after int, profile binary")
+    return lists.repartition(parts, "name").mapInPandas(_list_pairs, "a bigint, b bigint").distinct()
 
 
 def common_words(x: bytes, y: bytes) -> int:
@@ -295,10 +340,10 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_texts(tok: DataFrame, cap: int = CAP) -> DataFrame:
     """a, b: keys of evaluation and training texts of which at least four fifths of either's words stand in the other in order."""
-    pairs = written(candidates(tok, cap))
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct())
-    texts = tok.select("text_key", "words").join(needed, "text_key", "left_semi").groupBy("text_key").agg(F.first("words").alias("words"))
-    texts = written(texts)
+    texts = written(tok.groupBy("text_key").agg(F.bit_or("side").alias("side"), F.first("n").alias("n"), F.first("words").alias("words")))
+    pairs = written(candidates(texts, cap))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    texts = written(texts.select("text_key", "words").join(needed, "text_key", "left_semi"))
     wa, wb = (texts.select(F.col("text_key").alias(k), F.col("words").alias("w" + k)) for k in "ab")
     return written(pairs.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInPandas(_verify, "a bigint, b bigint"))
 
