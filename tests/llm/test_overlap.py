@@ -165,3 +165,16 @@ def test_longer_names_and_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(overlap, "SPREAD", 1000)
     monkeypatch.setattr(overlap, "AGAIN", -1)
     assert found(frame(spark, rows), cap=2) == want
+
+
+def test_no_long_text_at_the_border_is_lost(spark):
+    """Long texts of which exactly four fifths agree, edits every fifth word or at random places."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(400):
+        n = (65, 65, 80, 100)[k % 4]
+        t = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        changed = set(range(2, n, 5)) if k % 8 < 6 else set(rng.sample(range(n), n // 5))
+        u = [f"x{k}y{i}" if i in changed else w for i, w in enumerate(t)]
+        rows += [(2 * k, " ".join(t), "test"), (2 * k + 1, " ".join(u), "train")]
+    assert found(frame(spark, rows)) == {(2 * k, 2 * k + 1) for k in range(400)}
