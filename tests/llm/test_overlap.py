@@ -178,3 +178,17 @@ def test_no_long_text_at_the_border_is_lost(spark):
         u = [f"x{k}y{i}" if i in changed else w for i, w in enumerate(t)]
         rows += [(2 * k, " ".join(t), "test"), (2 * k + 1, " ".join(u), "train")]
     assert found(frame(spark, rows)) == {(2 * k, 2 * k + 1) for k in range(400)}
+
+
+def test_copies_do_not_split_their_near_copies(spark):
+    """Copies that hold most of the table, and near copies with an edit in every run of eight words."""
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base), "train") for i in range(12_000)]
+    near = {20_000 + k: " ".join(f"x{k}y{i}" if i % 7 == k % 7 else w for i, w in enumerate(base)) for k in range(28)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        df = frame(spark, rows + [(i, t, "test") for i, t in near.items()]).coalesce(1)
+        assert overlap.found(df).groupBy("id_b").count().filter("count = 12000").count() == len(near)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
