@@ -145,3 +145,13 @@ def test_held_out_seeds_of_the_corpus():
         p = {a for a in e if e[a] >= 3}
         tp, fp, fn = tp + len(p & g.y[i]), fp + len(p - g.y[i]), fn + len(g.y[i] - p)
     assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.85
+
+
+def test_lexicon_keeps_rare_words_of_a_large_vocabulary(spark):
+    """52,500 words beside words of the seeds, the rarest 2,000 of them as sure as the others."""
+    names = ["q" + "".join(chr(97 + i // 25**k % 25).replace("s", "z") for k in range(4)) for i in range(52_500)]
+    own = [[["oven", "dough", *names[i:i + 25]]] for i in range(0, len(names), 25) for _ in range(4 if i < 2000 else 5)]
+    read = spark.createDataFrame([(x,) for x in own], "own array<array<string>>")
+    lexicon = subjects.fit_lexicon(read, [(t, frozenset([s])) for _, t, s in SEEDS], frozenset(), rounds=1)
+    assert sum(lexicon.get(w) == ("food",) for w in names[:2000]) == 2000
+    assert sum(w in lexicon for w in names) == len(names)

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from typegram.llm import posts
 from typegram.session import written
 
-#: Bound of the seeds that are fitted on, and of the lexicon (most frequent words first).
-SEEDS, LEXICON = 100_000, 50_000
+#: Bound of the seeds that are fitted on.
+SEEDS = 100_000
 SHARE, LIFT = 0.25, 2.0
 ROUNDS, EM_ROUNDS = 2, 30
 LEVELS = 6  # evidence 0 to 5 or more
@@ -86,13 +86,19 @@ class Lexicon:
         return out
 
 
-def from_counts(counts: dict[str, Counter], total: dict[str, float], least: float) -> dict[str, tuple[str, ...]]:
-    """Areas that hold at least SHARE of a word's weight, for words that lean to one or two areas."""
-    overall: Counter = Counter()
-    for c in counts.values():
-        overall.update(c)
+def lifts(overall: Counter) -> dict[str, float]:
     whole = sum(overall.values()) or 1
-    lifted = {a: min(0.9, LIFT * n / whole) for a, n in overall.items()}  # more than what is spoken of everywhere
+    return {a: min(0.9, LIFT * n / whole) for a, n in overall.items()}  # more than what is spoken of everywhere
+
+
+def from_counts(counts: dict[str, Counter], total: dict[str, float], least: float, overall: Counter | None = None) -> dict[str, tuple[str, ...]]:
+    """Areas that hold at least SHARE of a word's weight, for words that lean to one or two areas. overall: where counts are
+    those of some words only, the sums of all."""
+    if overall is None:
+        overall = Counter()
+        for c in counts.values():
+            overall.update(c)
+    lifted = lifts(overall)
     out = {}
     for w, c in counts.items():
         n = total[w]
@@ -131,14 +137,14 @@ def neighbours(lexicon: Lexicon, sentences: list[list[str]], into: dict[str, Cou
                         into[w]["", str(zlib.crc32(x.encode()) % 64)] = 1
 
 
-def refined(counts: dict[str, Counter], seed: dict[str, tuple[str, ...]], barred: frozenset[str] = frozenset()) -> Lexicon:
+def refined(counts: dict[str, Counter], seed: dict[str, tuple[str, ...]], barred: frozenset[str] = frozenset(), overall: Counter | None = None) -> Lexicon:
     """Words whose sentences point to one or two areas far above those areas' shares; never barred words."""
     known = {w: Counter({a: n for (a, _), n in c.items() if a}) for w, c in counts.items()}
     totals = {w: sum(c.values()) for w, c in known.items()}
     # set phrases keep to themselves: a word of an area stands beside many others
     phrases = {w for w, c in counts.items() if totals[w] >= 6 and sum(1 for _, x in c if x) < 5}
     barred = barred | phrases
-    out = from_counts(known, totals, least=4)
+    out = from_counts(known, totals, least=4, overall=overall)
     out = {w: a for w, a in out.items() if w not in barred}
     for w, a in seed.items():  # what the seeds say stays, unless the posts' sentences say nothing of the kind
         n = totals.get(w, 0)
@@ -211,23 +217,48 @@ def _votes(areas: dict[str, tuple[str, ...]]):
     return run
 
 
+def given_area(words: DataFrame, overall: Counter) -> DataFrame:
+    """Of word, c (counts by area), others, n: the words that from_counts and refined may give an area; they decide in the end."""
+    least = {a: max(SHARE, x) - 1e-9 for a, x in lifts(overall).items()}
+    floor = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for i in least.items() for x in i)), F.col("x.area")), F.lit(SHARE)) if least else F.lit(SHARE)
+    held = words.select("word", "n", F.explode("c").alias("x")).filter(F.col("x.n") / F.col("n") >= floor).groupBy("word", "n").agg(
+        F.sort_array(F.collect_list("x.n"), asc=False).alias("h"))
+    top = held.filter("h[0] / n >= 0.4 - 1e-9 AND (h[0] + coalesce(get(h, 1), 0)) / n >= 0.7 - 1e-9").select("word")
+    return words.filter("n < 6 OR others >= 5").join(top, "word", "left_semi")
+
+
 def fit_lexicon(read: DataFrame, seeds: list[tuple[str, frozenset[str]]], barred: frozenset[str], rounds: int = ROUNDS) -> dict[str, tuple[str, ...]]:
     first = from_counts(*seed_counts(seeds), least=2)
     lexicon = Lexicon(first)
+    spoken = {w for text, _ in seeds for s in own_sentences(text) for w in s}
+    in_seeds = read.sparkSession.createDataFrame([(w,) for w in sorted(spoken | set(first))], "word string")
     for _ in range(rounds):
         counts = read.select("own").mapInPandas(_neighbour_counts(lexicon.areas), "word string, area string, beside string, n bigint")
         summed = counts.groupBy("word", "area", "beside").agg(F.sum("n").alias("n"))
         # per word: its counts by area, and how many classes of words stand beside it
-        words = summed.groupBy("word").agg(
-            F.collect_list(F.when(F.col("area") != "", F.struct("area", "n"))).alias("c"), F.count_if(F.col("beside") != "").alias("others"), F.sum(F.when(F.col("area") != "", F.col("n")).otherwise(0)).alias("n"))
-        into = {r.word: Counter({(x.area, ""): x.n for x in r.c} | {("", str(i)): 1 for i in range(r.others)})
-                for r in words.filter("n >= 4").orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+        words = written(summed.groupBy("word").agg(
+            F.collect_list(F.when(F.col("area") != "", F.struct("area", "n"))).alias("c"), F.count_if(F.col("beside") != "").alias("others"), F.sum(F.when(F.col("area") != "", F.col("n")).otherwise(0)).alias("n")).filter("n >= 4"))
+        overall = Counter({r.area: r.n for r in words.select(F.inline("c")).groupBy("area").agg(F.sum("n").alias("n")).collect()})
+        own: dict[str, Counter] = defaultdict(Counter)
+        for text, _areas in seeds:
+            neighbours(lexicon, own_sentences(text), own)
+        for c in own.values():
+            overall.update({a: n for (a, _), n in c.items() if a})
+        # words of the seeds and those that are given an area
+        kept = words.join(F.broadcast(in_seeds), "word", "left_semi").unionByName(
+            given_area(words, overall).join(F.broadcast(in_seeds), "word", "left_anti"))
+        into = {r.word: Counter({(x.area, ""): x.n for x in r.c} | {("", str(i)): 1 for i in range(r.others)}) for r in kept.collect()}
         for text, _areas in seeds:
             neighbours(lexicon, own_sentences(text), _Adding(into))
-        lexicon = refined(into, first, barred)
+        lexicon = refined(into, first, barred, overall)
     return lexicon.areas
 
 
+def _stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"word": sorted({stem(w) for t in pdf["text"] for w in posts.words(t or "")})})
+
+
 class _Adding(dict):
     """Counters of a plain dict, made when first needed."""
 
@@ -294,7 +325,7 @@ def posteriors(docs: DataFrame, seeds: DataFrame, foreign: DataFrame | None = No
     areas = sorted({a for _, x in examples for a in x})
     if not areas:
         return docs.select(F.col(id_col), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("posterior")).limit(0)
-    barred = frozenset(stem(w) for r in (foreign.select("text").limit(SEEDS).collect() if foreign is not None else ()) for w in posts.words(r.text or ""))
+    barred = frozenset(r.word for r in (foreign.select("text").mapInPandas(_stems, "word string").distinct().collect() if foreign is not None else ()))
     lexicon = fit_lexicon(read, examples, barred - frozenset(from_counts(*seed_counts(examples), least=3)))
     votes = written(read.mapInPandas(_votes(lexicon), f"id {kind}, board string, area string, evidence int, address int, section int"))
     # boards: the share of an area among the treated areas of a board, against its share everywhere
