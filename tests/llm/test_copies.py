@@ -106,3 +106,11 @@ def test_linked_canonical_forms(spark):
 def test_canonical_json():
     assert copies.canonical_json('{"b": [1, {"z": 1, "y": 2}], "a": "X\\n"}') == "axnb1y2z1"
     assert copies.canonical_json("{bad}") is None and copies.canonical_json("NaN") is None and copies.canonical_json("[2, 1]") == "21"
+
+
+def test_deep_and_long_json_keeps_the_free_order_of_fields():
+    digits = "7" * 5000
+    assert copies.canonical_json('{"a": %s, "b": 1}' % digits) == copies.canonical_json('{"b": 1, "a": %s}' % digits) is not None
+    deep = "[" * 12_000 + '{"a": 1, "b": 2}' + "]" * 12_000
+    assert copies.canonical_json(deep) == copies.canonical_json(deep.replace('"a": 1, "b": 2', '"b": 2, "a": 1')) == "a1b2"
+    assert copies.canonical_json("[" * 12_000) is None and copies.canonical_json('{"a": NaN}') is None

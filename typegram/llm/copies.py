@@ -9,7 +9,6 @@ Only the named columns are read, so others may have any name.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from typegram.functions.decoding import decoded
+from typegram.llm.syntax import json_parses
 from typegram.session import cut, written
 
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
@@ -32,18 +32,12 @@ def letters(text: str) -> str:
     return _PLAIN.sub("", text).lower()
 
 
-def _constant(name: str):
-    raise ValueError(name)
-
-
 def canonical_json(text: str) -> str | None:
     """Letters and digits of valid JSON with the fields of every object in sorted order; None for other text.
 
     Keys and values are taken as written, so escapes count as in the text itself.
     """
-    try:
-        json.loads(text, parse_constant=_constant)
-    except (ValueError, RecursionError):
+    if not json_parses(text):
         return None
     stack: list[list] = [["", []]]  # kind, finished parts; of objects: field texts
     field: list[str] = [""]
