@@ -19,26 +19,31 @@ def brute_bpe(text):
 TEXTS = ["", " ", "Hello  world\n\n it's fine", "<|endoftext|> x", "é日本語 12345 !!??", "z" * 500, " " * 300 + "x", "\n" * 40, "a" * 90 + "'s" + "b" * 90, "-" * 200 + "'ll go", "😀" * 50]
 
 
-@pytest.mark.parametrize("limit", [5, 16, 64, 1 << 16])
-def test_blocks_and_joins_are_exact(limit):
-    rng = random.Random(limit)
-    texts = TEXTS + ["".join(rng.choice(["a", "the ", "!!", "'s", "'", "  ", "\n", "é", "日", "12", "zz" * rng.randint(1, 20), "-" * rng.randint(1, 20), "\t"]) for _ in range(rng.randint(0, 50))) for _ in range(80)]
+@pytest.mark.parametrize("leaf", [1, 2, 5, 16, 64, 1 << 16])
+def test_trees_are_exact(leaf):
+    rng = random.Random(leaf)
+    signs = ["a", "the ", "!!", "'s", "'", "'r", "e", "v", "l", " ", "  ", "\n", "é", "日", "12", "\t"]
+    texts = TEXTS + ["".join(rng.choice([*signs, "zz" * rng.randint(1, 20), "-" * rng.randint(1, 20)]) for _ in range(rng.randint(0, 50))) for _ in range(150)]
     for t in texts:
-        out, run = [], []
-        for joins, one, b in encoding.blocks(t, limit):
-            if not joins:
-                out, run = out + encoding.concatenated(ENC, run), []
-            run.append(ENC._encode_single_piece(b) if one else ENC.encode_ordinary(b.decode()))
-        assert out + encoding.concatenated(ENC, run) == ENC.encode_ordinary(t) == brute_bpe(t), t
+        assert ENC.concatenated([ENC.tree(t, leaf)], leaf) == ENC.plain.encode_ordinary(t) == brute_bpe(t), t
 
 
-@pytest.mark.parametrize("limit", [16, 1 << 16])
-def test_encoded(spark, limit):
+def test_long_texts_are_exact():
+    """Joined hundreds of times at the production leaf: prose, one word of 200,000 letters, blanks, signs, and all of them."""
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu'é") for _ in range(rng.randint(1, 9))) for _ in range(20_000))
+    texts = [prose, "xyz" * 70_000, " " * 50_000 + "x", "-=" * 30_000, "".join(rng.choice("ab") for _ in range(100_000)), "日本" * 20_000]
+    for t in [*texts, "".join(texts)]:
+        assert ENC.concatenated([ENC.tree(t, encoding.LEAF)], encoding.LEAF) == ENC.plain.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("piece", [16, 100, 1 << 16])
+def test_encoded(spark, piece):
     df = spark.createDataFrame([*((i, t, None) for i, t in enumerate(TEXTS)), (98, None, "x"), (99, "dup", None), (99, "dup", None)], "doc_id long, text string, ids string")
-    rows = encoding.encoded(df, limit=limit).collect()
+    rows = encoding.encoded(df, leaf=8, piece=piece).collect()
     got = {r.doc_id: r.ids for r in rows}
     assert len(rows) == len(TEXTS) + 3 and got[98] == [] and got[0] == []
-    assert all(got[i] == ENC.encode_ordinary(t) for i, t in enumerate(TEXTS))
+    assert all(got[i] == ENC.plain.encode_ordinary(t) for i, t in enumerate(TEXTS))
     assert encoding.encoded(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
 
 
