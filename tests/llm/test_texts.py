@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import pandas as pd
 import pytest
@@ -8,12 +9,17 @@ from typegram.llm import encoding, leaks, posts, subjects
 ENC = encoding.encoder(encoding.TOKENIZERS, encoding.VOCABULARY)
 
 
-def brute_bpe(text):
+@lru_cache
+def brute_tokenizer():
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(f"{encoding.TOKENIZERS}/byte_bpe_50k.json")
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def brute_bpe(text):
+    return brute_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 TEXTS = ["", " ", "Hello  world\n\n it's fine", "<|endoftext|> x", "é日本語 12345 !!??", "z" * 500, " " * 300 + "x", "\n" * 40, "a" * 90 + "'s" + "b" * 90, "-" * 200 + "'ll go", "😀" * 50]
