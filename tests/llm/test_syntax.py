@@ -98,6 +98,8 @@ def test_rows(spark):
     v = {r.id: r for r in syntax.verdicts(df).collect()}
     assert (v[7].reason, v[7].parses_as) == ("wrong_extension", "json") and v[2].reason == "corrupt" and v[11].parses_as == "java" and v[15].parses_as == "cpp"
     assert v[5].valid is None and v[9].valid is None and v[9].decoded and not v[6].decoded
+    assert v[8].accepted_by == ["java"] and v[1].accepted_by == ["python"] and set(v[4].accepted_by) == {"python", "cpp", "java"} and v[3].parses_as is None
+    assert v[13].accepted_by == [] and v[5].accepted_by is None and v[7].accepted_by == ["json", "python"]
     r = {x.language: x for x in syntax.rates(df).collect()}
     assert (r["json"].files, r["json"].invalid_files, r["json"].invalid_rate) == (1, 1, 1.0)
     scans = spark.createDataFrame([(1, 10, 3, 6)], "scan_id long, python_files long, parsed_files long, parse_failures long")
@@ -107,3 +109,9 @@ def test_rows(spark):
 
 def test_ranking():
     assert syntax.ranked(CPP)[0] == "cpp" and syntax.ranked(JAVA)[0] == "java" and syntax.ranked("def f():\n    return None\n")[0] == "python"
+
+
+def test_python_refuses_by_grammar_only():
+    """What the compiler refuses for other reasons is valid syntax."""
+    assert all(map(syntax.python_parses, ["return 1", "def f(a, a): pass", "nonlocal x", "break", "def f():\n    x = 1\n    global x\n", "from __future__ import nothing_known"]))
+    assert not any(map(syntax.python_parses, ["x = (", "a b", "\x00", "def f(:\n", "  x\n y"]))

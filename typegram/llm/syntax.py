@@ -1,8 +1,8 @@
 """Source files that do not parse in their language.
 
-A file is parsed by the grammar of its language. Where that fails, the other supported grammars are tried in the order
-in which the file's tokens speak for them: one that accepts the whole file shows a wrong extension, none of them
-corruption. (A file its own grammar accepts needs no other: the verdict would not change.)
+Every decoded file is parsed by all supported grammars, in the order in which its tokens speak for their languages. A
+file that its own grammar rejects is invalid: the first other grammar that accepts it shows a wrong extension, none
+corruption. A file that its own grammar accepts is valid, and which others accept it too is told beside.
 
 Defined cases: NULL and undecodable data are never flagged and count as not decoded; an empty file is valid, except in
 JSON; a NULL or unsupported language has no verdict (NULL) and is not flagged; repeated rows are judged one by one; an
@@ -14,6 +14,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import symtable
 import sys
 import warnings
 from collections.abc import Iterator
@@ -25,19 +26,27 @@ from pyspark.sql import functions as F
 from typegram.functions.decoding import decode_source
 from typegram.llm import cfamily
 
-#: What speaks for a language, each occurrence once.
+#: Tokens that speak for a language, each occurrence once.
 EVIDENCE = {
-    "python": re.compile(r"^\s*(?:def |class \w+.*:|import \w|from \w+ import|elif |except|@\w)|\b(?:None|True|False|self|lambda|not in|print)\b|:\s*$", re.M),
-    "cpp": re.compile(r"^\s*#\s*(?:include|define|if|endif|pragma)|\bstd::|\b(?:cout|cin|vector|using namespace|auto|template|const|int main)\b|;\s*$", re.M),
-    "java": re.compile(r"\b(?:public|private|static|final|String|System\.out|extends|implements|new|boolean|void|import java)\b|;\s*$", re.M),
-    "json": re.compile(r'\A\s*[\[{]|"\s*:|[\]}]\s*,?\s*$|\b(?:null|true|false)\b', re.M),
+    "python": ("def ", "import ", "self", "elif ", "except", "None", "True", "False", "not in", "print(", "lambda", ":\n"),
+    "cpp": ("#include", "#define", "std::", "cout", "cin", "using namespace", "template", "const ", "int main", ";\n"),
+    "java": ("public ", "private ", "static ", "final ", "String", "System.out", "extends ", "implements ", "boolean", "import java", ";\n"),
+    "json": ('":', "{\"", "[\"", "null", "true", "false", "},", "],"),
 }
 
 
+_REJECTED = (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError)
+
+
 def python_parses(text: str) -> bool:
+    try:  # parses without building a tree of Python objects, but refuses more than the grammar does
+        symtable.symtable(text, "<source>", "exec")
+        return True
+    except _REJECTED:
+        pass
     try:
         compile(text, "<source>", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
-    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
+    except _REJECTED:
         return False
     return True
 
@@ -75,23 +84,17 @@ PARSERS = {
 
 
 def ranked(text: str) -> list[str]:
-    score = {name: len(p.findall(text)) for name, p in EVIDENCE.items()}
+    score = {name: sum(map(text.count, tokens)) for name, tokens in EVIDENCE.items()}
     return sorted(score, key=lambda name: (-score[name], name))
 
 
-def judge(data: bytes | None, language: str | None) -> tuple[bool, bool | None, str | None]:
-    """decoded, valid, language that accepts a file its own grammar rejects."""
+def judge(data: bytes | None, language: str | None) -> tuple[bool, bool | None, list[str] | None]:
+    """decoded, valid, all languages whose grammar accepts the file, the one its tokens speak for most first."""
     text = decode_source(data)
     if text is None:
         return False, None, None
-    parser = PARSERS.get(language)
-    if parser is None:
-        return True, None, None
-    if parser(text):
-        return True, True, None
-    if not text.strip():
-        return True, False, None
-    return True, False, next((x for x in ranked(text) if x != language and PARSERS[x](text)), None)
+    accepted = [x for x in ranked(text) if PARSERS[x](text)]
+    return True, language in accepted if language in PARSERS else None, accepted
 
 
 def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,16 +102,20 @@ def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 3000))
     for pdf in batches:
         rows = [judge(d, x) for d, x in zip(pdf.pop("data"), pdf["language"], strict=True)]
-        pdf["decoded"], pdf["valid"], pdf["parses_as"] = ([r[i] for r in rows] for i in range(3))
+        pdf["decoded"], pdf["valid"], pdf["accepted_by"] = ([r[i] for r in rows] for i in range(3))
         pdf["valid"] = pdf["valid"].astype("boolean")
         yield pdf
 
 
 def verdicts(df: DataFrame, id_col: str = "source_id", data: str = "data", language: str = "language", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, language, kept columns, decoded, valid, parses_as, reason (wrong_extension, corrupt) of every row."""
+    """id, language, kept columns, decoded, valid, accepted_by, parses_as (first other language that accepts the file, blank
+    ones left out), reason (wrong_extension, corrupt; NULL where valid) of every row."""
     rows = df.select(F.col(id_col).alias("id"), F.lower(F.trim(language)).alias("language"), *keep, F.col(data).alias("data"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "data")
-    judged = rows.mapInPandas(_judge_batches, f"{schema}, decoded boolean, valid boolean, parses_as string")
+    judged = rows.mapInPandas(_judge_batches, f"{schema}, decoded boolean, valid boolean, accepted_by array<string>")
+    # only JSON rejects a blank file, which says nothing of the others
+    other = F.filter("accepted_by", lambda x: x != F.col("language"))
+    judged = judged.withColumn("parses_as", F.when((F.col("language") != "json") | ~F.array_contains("accepted_by", "json"), F.get(other, F.lit(0))))
     return judged.withColumn("reason", F.when(~F.col("valid"), F.when(F.col("parses_as").isNotNull(), "wrong_extension").otherwise("corrupt")))
 
 
