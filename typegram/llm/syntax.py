@@ -88,13 +88,15 @@ def ranked(text: str) -> list[str]:
     return sorted(score, key=lambda name: (-score[name], name))
 
 
-def judge(data: bytes | None, language: str | None) -> tuple[bool, bool | None, list[str] | None]:
-    """decoded, valid, all languages whose grammar accepts the file, the one its tokens speak for most first."""
+def judge(data: bytes | None, language: str | None) -> tuple[bool, bool | None, list[str] | None, str | None]:
+    """decoded, valid, all languages whose grammar accepts the file, the one its tokens speak for most first, and the first of
+    them that is not its own; a blank file, which only JSON rejects, speaks for none."""
     text = decode_source(data)
     if text is None:
-        return False, None, None
+        return False, None, None, None
     accepted = [x for x in ranked(text) if PARSERS[x](text)]
-    return True, language in accepted if language in PARSERS else None, accepted
+    other = next((x for x in accepted if x != language), None) if text.strip() else None
+    return True, language in accepted if language in PARSERS else None, accepted, other
 
 
 def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,20 +104,17 @@ def _judge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 3000))
     for pdf in batches:
         rows = [judge(d, x) for d, x in zip(pdf.pop("data"), pdf["language"], strict=True)]
-        pdf["decoded"], pdf["valid"], pdf["accepted_by"] = ([r[i] for r in rows] for i in range(3))
+        pdf["decoded"], pdf["valid"], pdf["accepted_by"], pdf["parses_as"] = ([r[i] for r in rows] for i in range(4))
         pdf["valid"] = pdf["valid"].astype("boolean")
         yield pdf
 
 
 def verdicts(df: DataFrame, id_col: str = "source_id", data: str = "data", language: str = "language", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, language, kept columns, decoded, valid, accepted_by, parses_as (first other language that accepts the file, blank
-    ones left out), reason (wrong_extension, corrupt; NULL where valid) of every row."""
+    """id, language, kept columns, decoded, valid, accepted_by, parses_as (first other language that accepts the file, NULL
+    for blank ones), reason (wrong_extension, corrupt; NULL where valid) of every row."""
     rows = df.select(F.col(id_col).alias("id"), F.lower(F.trim(language)).alias("language"), *keep, F.col(data).alias("data"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "data")
-    judged = rows.mapInPandas(_judge_batches, f"{schema}, decoded boolean, valid boolean, accepted_by array<string>")
-    # only JSON rejects a blank file, which says nothing of the others
-    other = F.filter("accepted_by", lambda x: x != F.col("language"))
-    judged = judged.withColumn("parses_as", F.when((F.col("language") != "json") | ~F.array_contains("accepted_by", "json"), F.get(other, F.lit(0))))
+    judged = rows.mapInPandas(_judge_batches, f"{schema}, decoded boolean, valid boolean, accepted_by array<string>, parses_as string")
     return judged.withColumn("reason", F.when(~F.col("valid"), F.when(F.col("parses_as").isNotNull(), "wrong_extension").otherwise("corrupt")))
 
 
