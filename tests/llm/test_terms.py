@@ -32,10 +32,27 @@ def test_ngrams_match_brute_force(spark, max_n):
     assert run(df, max_n) == brute(records, max_n)
 
 
-def test_hot_first_term_is_salted(spark):
-    records = [["hot", f"w{i % 7}"] for i in range(300)]
-    df = spark.createDataFrame([(r,) for r in records], "terms array<string>").repartition(6)
-    assert run(df, 2, hot_share=10**9) == brute(records, 2)
+def test_hot_first_term_is_salted(spark, monkeypatch):
+    """The rows of a hot first term reach the stack from several tasks, apart, and add up."""
+    records = [["hot", f"w{i % 7}", "hot", "cold"] for i in range(300)]
+    df = spark.range(0, 300, 1, 6).selectExpr("array('hot', concat('w', id % 7), 'hot', 'cold') AS terms")
+    stack = terms._stack
+
+    def seen(max_n):
+        run_ = stack(max_n)
+        return lambda batches: (p.assign(records=p["records"] + 1_000_000) for p in run_(batches))
+
+    assert run(df, 2, hot_floor=100) == brute(records, 2) == run(df, 2)
+    monkeypatch.setattr(terms, "_stack", seen)
+    partial = {k: v[1] // 1_000_000 for k, v in run(df, 2, hot_floor=100).items()}
+    assert partial[("hot",)] == partial[("cold",)] == 6 and partial[("w1",)] == 1 and all(n == 1 for n in (v[1] // 1_000_000 for v in run(df, 2).values()))
+
+
+def test_terms_with_the_separator(spark):
+    records = [["a\x1fb", "c"], ["a", "b\x1fc"], ["a", "b"]]
+    df = spark.createDataFrame([(r,) for r in records], "terms array<string>")
+    got = {(r.term, r.n): r.occurrences for r in terms.frequencies(df, "terms", max_n=2).collect()}
+    assert got[("a\x1fb", 1)] == 1 and got[("a", 1)] == 2 and got[("b", 1)] == 1 and got[("c", 1)] == 1 and got[("a\x1fb", 2)] == 1
 
 
 def test_weights(spark):

@@ -54,14 +54,14 @@ def p2_roots(spark, sf_dir):
 
 
 @query("p2_word_ngrams", """
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w),
 g AS (SELECT doc_id, n, array_to_string(t[i:i + n - 1], chr(31)) AS term FROM p, unnest([1, 2, 3]) AS u(n) WHERE i + n - 1 <= len(t))
 SELECT term, n::INT AS n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY term, n
 """)
 def p2_word_ngrams(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     return terms.frequencies(docs.select(words.alias("words")), "words", max_n=3)
 
 
