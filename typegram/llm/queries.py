@@ -108,7 +108,7 @@ def p4_merged_days(spark, sf_dir):
 
 @query("p6_sample")
 def p6_sample(spark, sf_dir):
-    return reservoir.sample(table(spark, sf_dir, "source_sample"), k=256)
+    return reservoir.sample(table(spark, sf_dir, "source_sample"), k=256, every=4 * 86_400)
 
 
 @query("p5_found")

@@ -1,28 +1,37 @@
 """Uniform sample of k distinct members from pieces that arrive one after another.
 
-Members lie in hash-partitioned slots. With n members seen and m new ones in an arriving batch, the number of new ones in
-the sample is hypergeometric; as many old ones are evicted uniformly, and the new ones are a uniform sample of the batch.
-All of this is first drawn on counts per batch and slot, which fix how many members of each batch and slot survive; then
-every slot picks its survivors by a seeded hash of the member. A member counts in the batch of its first arrival only, so
-every distinct member is equally likely, however often it was sent.
+The reservoir's members lie in hash-partitioned slots. With n members seen and m new ones in an arriving batch, the number
+of new ones in the sample is hypergeometric. It is split over the slots of the batch, as many old ones are evicted
+uniformly, split over the slots of the sample likewise, and every slot picks by a seeded hash of the member. Only counts
+per slot are drawn on the driver. A member that was seen before is no new one, so every distinct member is equally likely,
+however often it was sent.
+
+State lies in a folder all executors share: a table of the new members of each batch, a table of the sample after it, and
+a small file, put in place by one rename, that makes both count. A batch whose epoch is committed changes nothing; one that
+broke off is done anew, by the same draws. So a restarted reservoir goes on where the last commit stands.
 
 Defined cases: rows with NULL member are no members; NULL arrival times come first; a sample of k or fewer members is
-everything; of rows with one member the first arrival is kept, among equal ones the smallest piece and position; k = 0 and
-an empty table give no rows.
+everything; of rows with one member the first arrival is kept, among equal ones the smallest piece and position, and among
+rows that agree in those any one; k = 0 and an empty table give no rows.
 """
 
 from __future__ import annotations
 
-from math import exp, lgamma
+import json
+import uuid
+from functools import reduce
+from math import sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from typegram.session import written
+from typegram.session import shared_dir
 
-#: Arrivals are cut into at most BATCHES batches, and members into SLOTS slots: bounds of what is drawn on the driver.
-BATCHES, SLOTS = 512, 64
+#: Slots of the reservoir: a bound of what is drawn on the driver. Tables of seen members that are read one by one.
+SLOTS, PARTS = 64, 16
+#: What arrives within so many seconds is one batch, where a table is replayed.
+EVERY = 86_400
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -35,26 +44,16 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
         return int(rng.hypergeometric(good, bad, n))
     low, high = max(0, n - bad), min(n, good)
     mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
-
-    def log_choose(a: int, b: int) -> float:
-        return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
-
-    up = down = exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
-    left, x, y = rng.random() - up, mode, mode
-    while left > 0 and (x < high or y > low):  # outward from the mode
-        if x < high:
-            up *= (good - x) * (n - x) / ((x + 1) * (bad - n + x + 1))
-            x += 1
-            left -= up
-            if left <= 0:
-                return x
-        if y > low:
-            down *= y * (bad - n + y) / ((good - y + 1) * (n - y + 1))
-            y -= 1
-            left -= down
-            if left <= 0:
-                return y
-    return mode
+    share = good / (good + bad)
+    reach = int(14 * sqrt(n * share * (1 - share))) + 60  # beyond it lies less than any random number tells apart
+    # probabilities by their ratios to the mode's, so that nothing cancels however large the counts are
+    x = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    up = np.cumprod((good - x) * (n - x) / ((x + 1) * (float(bad - n) + x + 1)))
+    y = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    down = np.cumprod(y * (float(bad - n) + y) / ((good - y + 1) * (n - y + 1)))
+    weights = np.concatenate([down[::-1], [1.0], up])
+    at = int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum(), "right"))
+    return mode - len(down) + min(at, len(weights) - 1)
 
 
 def spread(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
@@ -69,95 +68,116 @@ def spread(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def survivors(counts: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """counts[batch, slot] of new members in order of arrival: members of each in the final sample."""
-    rng = np.random.default_rng(seed)
-    alive, seen = np.zeros_like(counts), 0
-    for t in range(len(counts)):
-        m, size = int(counts[t].sum()), int(alive.sum())
-        into = m if seen + m <= k else hypergeometric(rng, m, seen, k)
-        evict = max(0, size + into - k)
-        if evict:
-            per_batch = spread(rng, alive.sum(axis=1), evict)
-            for b in np.flatnonzero(per_batch):
-                alive[b] -= spread(rng, alive[b], int(per_batch[b]))
-        alive[t] = spread(rng, counts[t], into)
-        seen += m
-    return alive
-
-
-def sample(df: DataFrame, k: int, seed: int = 0, member: str = "member", piece: str = "piece_no", position: str = "position",
-           arrived: str = "arrived_at", keep: tuple[str, ...] = ("data",), batches: int = BATCHES, slots: int = SLOTS) -> DataFrame:
-    """member, piece, position and kept columns of a uniform sample of k distinct members."""
-    at = F.unix_micros(F.col(arrived).cast("timestamp"))
-    rows = df.select(F.col(member).alias("m"), at.alias("t"), F.col(piece).alias("p"), F.col(position).alias("o")).filter("m IS NOT NULL")
-    first = rows.groupBy("m").agg(F.min(F.struct("t", "p", "o")).alias("f")).select("m", "f.*")
-    first = written(first.withColumn("slot", F.pmod(F.xxhash64("m", F.lit(seed)), F.lit(slots)).cast("int")))
-    low, high = first.agg(F.min("t"), F.max("t")).first()
-    if low is None:
-        low = high = 0
-    batch = F.coalesce(F.floor((F.col("t") - low) / max(1, (high - low) / (batches - 1))) + 1, F.lit(0)).cast("int")
-    first = first.withColumn("batch", batch)
-    counts = np.zeros((batches + 1, slots), np.int64)
-    for b, s, c in first.groupBy("batch", "slot").agg(F.count("*")).collect():  # at most batches x slots numbers
-        counts[b, s] = c
-    alive = survivors(counts, k, seed)
-    takes = [(int(b), int(s), int(alive[b, s]), bool(alive[b, s] == counts[b, s])) for b, s in zip(*np.nonzero(alive), strict=True)]
-    take = df.sparkSession.createDataFrame(takes, "batch int, slot int, take bigint, everyone boolean")
-    pool = first.join(F.broadcast(take), ["batch", "slot"])
-    order = Window.partitionBy("batch", "slot").orderBy(F.xxhash64("m", F.lit(seed + 1)), "m")
-    chosen = pool.withColumn("r", F.row_number().over(order)).filter("r <= take").select("m", "t", "p", "o")
-    chosen = written(chosen)
-    source = df.select(F.col(member).alias("m"), at.alias("t"), F.col(piece).alias("p"), F.col(position).alias("o"), *(F.col(c).alias(f"k_{c}") for c in keep))
-    c, s = chosen.alias("c"), source.alias("s")
-    on = (F.col("c.m") == F.col("s.m")) & F.col("c.t").eqNullSafe(F.col("s.t")) & F.col("c.p").eqNullSafe(F.col("s.p")) & F.col("c.o").eqNullSafe(F.col("s.o"))
-    got = s.join(c, on).select(F.col("s.m").alias(member), F.col("s.p").alias(piece), F.col("s.o").alias(position), *(F.col(f"s.k_{x}").alias(x) for x in keep))
-    return got.dropDuplicates([member])
-
-
 class Reservoir:
-    """The same sample kept up to date batch by batch, for foreachBatch: state is a table of seen members and the sample."""
-
-    def __init__(self, spark, path: str, k: int, seed: int = 0, member: str = "member", slots: int = SLOTS):
-        self.spark, self.path, self.k, self.seed, self.member, self.slots = spark, path.rstrip("/"), k, seed, member, slots
-        self.version, self.seen = 0, 0
-
-    def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{name}-{self.version}") if self.version else None
+    """The sample kept up to date batch by batch, as foreachBatch of a stream calls it."""
+
+    def __init__(self, spark: SparkSession, path: str, k: int, seed: int = 0, member: str = "member", piece: str = "piece_no",
+                 position: str = "position", arrived: str = "arrived_at", keep: tuple[str, ...] = ("data",), slots: int = SLOTS):
+        self.spark, self.path, self.k, self.seed, self.slots, self.keep = spark, path.rstrip("/"), k, seed, slots, keep
+        self.columns = {"m": F.col(member), "t": F.unix_micros(F.col(arrived).cast("timestamp")), "p": F.col(piece), "o": F.col(position)}
+        self.names = (member, piece, position)
+        self.state = self._committed() or {"version": 0, "epoch": None, "seen": 0, "parts": [], "held": [0] * slots, "sample": None}
+
+    @property
+    def seen(self) -> int:
+        return self.state["seen"]
+
+    def _fs(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _committed(self) -> dict | None:
+        at, fs = self._fs("commit-*.json")
+        files = sorted(str(x.getPath().getName()) for x in fs.globStatus(at) or ())
+        if not files:
+            return None
+        at, fs = self._fs(files[-1])
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, state: dict) -> None:
+        name = f"commit-{state['version']:09d}.json"
+        (draft, fs), (final, _) = self._fs(f"draft-{uuid.uuid4().hex}"), self._fs(name)
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        if not fs.rename(draft, final):
+            raise RuntimeError(f"{name} was committed by another writer")
+        self.state = state
 
     def update(self, batch: DataFrame, epoch: int | None = None) -> None:
-        m = self.member
-        rows = batch.filter(F.col(m).isNotNull()).dropDuplicates([m])
-        seen, held = self._read("seen"), self._read("sample")
-        if seen is not None:
-            rows = rows.join(seen, m, "left_anti")
-        slot = F.pmod(F.xxhash64(m, F.lit(self.seed)), F.lit(self.slots)).cast("int")
-        rows = written(rows.withColumn("_slot", slot))
+        state = self.state
+        if epoch is not None and state["epoch"] is not None and epoch <= state["epoch"]:
+            return
+        version = state["version"] + 1
+        order = F.struct("t", "p", "o")
+        rows = batch.select(*(c.alias(x) for x, c in self.columns.items())).filter("m IS NOT NULL").groupBy("m").agg(F.min(order).alias("f"))
+        rows = rows.select("m", F.pmod(F.xxhash64("m", F.lit(self.seed)), F.lit(self.slots)).cast("int").alias("slot"), "f.*")
+        part, kept = f"seen-{version}", f"sample-{version}"
+        if state["parts"]:  # the batch is the smaller side: only those of its members that were seen come back from the seen ones
+            rows = self._table(rows, f"batch-{version}")
+            seen = self.spark.read.schema("m " + rows.schema["m"].dataType.simpleString()).parquet(*(f"{self.path}/{x}" for x in state["parts"]))
+            rows = rows.join(seen.join(rows.select("m"), "m", "left_semi"), "m", "left_anti")
+        rows = self._table(rows, part)
         new = np.zeros(self.slots, np.int64)
-        for s, c in rows.groupBy("_slot").count().collect():
+        for s, c in rows.groupBy("slot").agg(F.count("*")).collect():
             new[s] = c
-        rng = np.random.default_rng((self.seed, self.version))
-        total = int(new.sum())
-        size = min(self.seen, self.k)
-        into = total if self.seen + total <= self.k else hypergeometric(rng, total, self.seen, self.k)
-        stay = self.k - into if size + into > self.k else size
-        parts = [self._pick(rows, spread(rng, new, into), 2 * self.version)]
-        if held is not None:
-            old = np.zeros(self.slots, np.int64)
-            for s, c in held.groupBy("_slot").count().collect():
-                old[s] = c
-            parts.append(self._pick(held, spread(rng, old, stay), 2 * self.version + 1))
-        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        nxt = self.version + 1
-        out.write.mode("overwrite").parquet(f"{self.path}/sample-{nxt}")
-        both = rows.select(m) if seen is None else seen.unionByName(rows.select(m))
-        both.write.mode("overwrite").parquet(f"{self.path}/seen-{nxt}")
-        self.version, self.seen = nxt, self.seen + total
-
-    def _pick(self, df: DataFrame, counts: np.ndarray, salt: int) -> DataFrame:
-        take = self.spark.createDataFrame([(i, int(c)) for i, c in enumerate(counts) if c], "_slot int, _take bigint")
-        order = Window.partitionBy("_slot").orderBy(F.xxhash64(self.member, F.lit(self.seed + 7919 * (salt + 1))), self.member)
-        return df.join(F.broadcast(take), "_slot").withColumn("_r", F.row_number().over(order)).filter("_r <= _take").drop("_r", "_take")
-
-    def sample(self) -> DataFrame:
-        return self._read("sample").drop("_slot")
+        rng = np.random.default_rng((self.seed, version))
+        held, m = np.array(state["held"], np.int64), int(new.sum())
+        into = min(m, self.k) if not state["seen"] else m if state["seen"] + m <= self.k else hypergeometric(rng, m, state["seen"], self.k)
+        stay = min(int(held.sum()), self.k - into)
+        take, rest = spread(rng, new, into), spread(rng, held, stay)
+        parts = []
+        if into or not state["sample"]:
+            parts.append(self._with_data(batch, self._pick(rows, take, 2 * version)))
+        if state["sample"]:
+            parts.append(self._pick(self.spark.read.parquet(f"{self.path}/{state['sample']}"), rest, 2 * version + 1))
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{self.path}/{kept}")
+        seen_in = [*state["parts"], part] if m else state["parts"]
+        if len(seen_in) > PARTS:
+            self._table(self.spark.read.parquet(*(f"{self.path}/{x}" for x in seen_in)).select("m"), f"seen-to-{version}")
+            seen_in = [f"seen-to-{version}"]
+        self._commit({"version": version, "epoch": epoch, "seen": state["seen"] + m, "parts": seen_in, "held": [int(x) for x in take + rest], "sample": kept})
+
+    def _table(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+
+    def _pick(self, rows: DataFrame, take: np.ndarray, salt: int) -> DataFrame:
+        """As many rows of each slot, the first ones by a hash that is new for every draw."""
+        wanted = self.spark.createDataFrame([(i, int(c)) for i, c in enumerate(take) if c], "slot int, take bigint")
+        order = Window.partitionBy("slot").orderBy(F.xxhash64("m", F.lit(self.seed + 7919 * (salt + 1))), "m")
+        return rows.join(F.broadcast(wanted), "slot").withColumn("r", F.row_number().over(order)).filter("r <= take").drop("r", "take")
+
+    def _with_data(self, batch: DataFrame, chosen: DataFrame) -> DataFrame:
+        source = batch.select(*(c.alias(x) for x, c in self.columns.items()), *(F.col(c).alias(f"k_{c}") for c in self.keep))
+        c, s = chosen.alias("c"), source.alias("s")
+        on = reduce(Column.__and__, (F.col(f"c.{x}").eqNullSafe(F.col(f"s.{x}")) if x != "m" else F.col("c.m") == F.col("s.m") for x in "mtpo"))
+        return s.join(c, on).select("c.*", *(F.col(f"s.k_{x}") for x in self.keep)).dropDuplicates(["m"])
+
+    def sample(self) -> DataFrame | None:
+        """member, piece, position and kept columns; None where nothing has arrived yet."""
+        if not self.state["sample"]:
+            return None
+        got = self.spark.read.parquet(f"{self.path}/{self.state['sample']}")
+        return got.select(*(F.col(x).alias(n) for x, n in zip("mpo", self.names, strict=True)), *(F.col(f"k_{x}").alias(x) for x in self.keep))
+
+
+def sample(df: DataFrame, k: int, seed: int = 0, member: str = "member", piece: str = "piece_no", position: str = "position",
+           arrived: str = "arrived_at", keep: tuple[str, ...] = ("data",), every: int = EVERY, slots: int = SLOTS) -> DataFrame:
+    """member, piece, position and kept columns of the sample after all of df arrived, in batches of `every` seconds."""
+    spark = df.sparkSession
+    reservoir = Reservoir(spark, f"{shared_dir(spark).rstrip('/')}/typegram-{uuid.uuid4().hex}", k, seed, member, piece, position, arrived, keep, slots)
+    names = list(dict.fromkeys((member, piece, position, arrived, *keep)))
+    at = F.coalesce(F.floor(F.unix_micros(F.col(arrived).cast("timestamp")) / (every * 1_000_000)), F.lit(-(2**62)))
+    folder = f"{shared_dir(spark).rstrip('/')}/typegram-{uuid.uuid4().hex}"
+    # each task's rows of a batch are one file: a large batch keeps the tasks of the scan, and none is moved
+    df.filter(F.col(member).isNotNull()).select(*names, at.alias("_batch")).write.partitionBy("_batch").parquet(folder)
+    arriving = spark.read.schema(df.select(*names, at.alias("_batch")).schema).parquet(folder)
+    for r in arriving.select("_batch").distinct().orderBy("_batch").toLocalIterator():  # one row per batch, as they arrived
+        reservoir.update(arriving.filter(F.col("_batch") == r[0]).drop("_batch"))
+    got = reservoir.sample()
+    return df.select(member, piece, position, *keep).limit(0) if got is None else got
