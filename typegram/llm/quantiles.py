@@ -1,13 +1,16 @@
 """Percentiles per group from dyadic count sketches.
 
 A value is encoded as the leading BITS bits of its order-preserving bit pattern, so equal codes differ by a relative
-2**-(BITS - 12) at most. For every binary resolution of the codes there is one signed sketch of DEPTH rows and WIDTH
-counters; a resolution with at most EXACT occupied nodes is kept as those nodes, which takes no more room and has no
-error. Sketches add up: parts of one day, days of one year, or a deletion with negative weights. Ranks are inverted by
-descending the resolutions from the coarsest.
+2**-(BITS - 12) at most. For every binary resolution of the codes whose nodes are more than a sketch has counters there is
+one signed sketch of DEPTH rows and WIDTH counters; the coarser ones are plain counters, one per node, whatever the data.
+Every task sketches its own rows and nothing else is shuffled. Sketches add up: parts of one day, days of one year, or a
+deletion with negative weights. Ranks are inverted by descending the resolutions from the coarsest.
 
-Stated error: the returned value's rank is within RANK_ERROR * n of the wanted rank (with high probability, none where
-all resolutions are kept as nodes), and the value is at most a relative VALUE_ERROR below a value of that rank.
+A sketch is a table of rows that add up. As sketching is linear, a row may hold counters, or updates (codes and weights)
+that are still to be put into counters, where these take less room; every percentile is read from counters alone.
+
+Stated error: the returned value's rank is within RANK_ERROR * n of the wanted rank with high probability, and the value
+is at most a relative VALUE_ERROR below a value of that rank.
 
 Defined cases: NULL and NaN are no values, -0.0 is 0.0, infinities are values; NULL group columns form a group; groups
 without values and empty tables give no rows; ties count each.
@@ -15,21 +18,24 @@ without values and empty tables give no rows; ties count each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from typegram.session import written
 
 BITS, DEPTH, WIDTH = 26, 5, 4096
-EXACT = DEPTH * WIDTH // 2
+#: The finest resolution of plain counters.
+PLAIN = (DEPTH * WIDTH).bit_length() - 1
 RANK_ERROR, VALUE_ERROR = 0.01, 2.0 ** -(BITS - 12)
-#: One task builds the part of a group with about so many distinct codes.
-CODES_A_TASK = 1_000_000
+#: Values a task holds before it gives out what it has, codes that travel as updates, and rows of one group that are added
+#: up by one task.
+HELD, UPDATES, FAN_IN = 2_000_000, 1 << 15, 512
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 _SHIFT = np.uint64(64 - BITS)
@@ -50,11 +56,6 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return np.where(positive, ordered ^ _TOP, ~filled).view(np.float64) + 0.0
 
 
-@F.pandas_udf(T.LongType())
-def code_of(values: pd.Series) -> pd.Series:
-    return pd.Series(encode(values.to_numpy(np.float64)))
-
-
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     x = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,22 +63,10 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _cells(nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Position in the flat DEPTH x WIDTH counters and sign, per row and node."""
-    at, sign = [], []
-    for row in range(DEPTH):
-        h = _mix(nodes, level * DEPTH + row + 1)
-        at.append(row * WIDTH + (h % np.uint64(WIDTH)).astype(np.int64))
-        sign.append(np.where(h >> np.uint64(63), 1, -1))
-    return np.stack(at), np.stack(sign)
-
-
-def _sketched(nodes: np.ndarray, weights: np.ndarray, level: int) -> np.ndarray:
-    cells = np.zeros(DEPTH * WIDTH, np.int64)
-    at, sign = _cells(nodes, level)
-    for row in range(DEPTH):
-        np.add.at(cells, at[row], sign[row] * weights)
-    return cells
+def _cells(nodes: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counter and sign of each node in one row of a level's sketch."""
+    h = _mix(nodes, level * DEPTH + row + 1)
+    return (h & np.uint64(WIDTH - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
 
 
 def _summed(nodes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,93 +78,164 @@ def _summed(nodes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return nodes[first][total != 0], total[total != 0]
 
 
-def level_rows(codes: np.ndarray, weights: np.ndarray) -> Iterator[tuple]:
-    """(level, nodes or None, counts) from the finest resolution to the root."""
-    nodes, weights = _summed(codes, weights)
-    for level in range(BITS, -1, -1):
-        if len(nodes) > EXACT:
-            yield level, None, _sketched(nodes, weights, level)
-        else:
-            yield level, nodes, weights
-        nodes, weights = _summed(nodes >> 1, weights)
+class Sketch:
+    """Counters of all resolutions: `plain` of resolution PLAIN, whose sums are the coarser ones, and `signed` of the finer."""
+
+    def __init__(self) -> None:
+        self.plain = np.zeros(1 << PLAIN, np.int64)
+        self.signed = np.zeros((BITS - PLAIN, DEPTH, WIDTH), np.int64)
+
+    def update(self, codes: np.ndarray, weights: np.ndarray) -> Sketch:
+        nodes, weights = _summed(codes, weights)
+        for level in range(BITS, PLAIN, -1):
+            for row in range(DEPTH):
+                at, sign = _cells(nodes, level, row)
+                # sums of weights below 2**53 are exact as doubles
+                self.signed[level - PLAIN - 1, row] += np.bincount(at, sign * weights, WIDTH).astype(np.int64)
+            nodes, weights = _summed(nodes >> 1, weights)
+        np.add.at(self.plain, nodes, weights)
+        return self
+
+    def add(self, packed: bytes) -> None:
+        x = np.frombuffer(zlib.decompress(packed), "<i8")
+        self.plain += x[:1 << PLAIN]
+        self.signed += x[1 << PLAIN:].reshape(self.signed.shape)
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.concatenate([self.plain, self.signed.reshape(-1)]).astype("<i8").tobytes(), 1)
+
+    def invert(self, wanted: Sequence[float]) -> tuple[int, list[float | None]]:
+        """n and the value at each wanted percentile: of rank ceil(p * n), at least 1."""
+        sums = [self.plain]
+        while len(sums[-1]) > 1:
+            sums.append(sums[-1].reshape(-1, 2).sum(axis=1))
+        n = int(sums[-1][0])
+        if n <= 0:
+            return n, [None] * len(wanted)
+        rank = np.maximum(1.0, np.ceil(np.array(wanted, float) * n - 1e-9))
+        node, here = np.zeros(len(rank), np.int64), np.full(len(rank), float(n))
+        for level in range(1, BITS + 1):
+            left, right = self._count(sums, level, node * 2), self._count(sums, level, node * 2 + 1)
+            left = np.clip(left, 0, here)
+            if level > PLAIN:  # the halves sum up to their parent: spread what is over evenly
+                left = np.where(right > 0, np.clip((left + here - np.minimum(right, here)) / 2, 0, here), left)
+            down = rank > left
+            rank, here, node = np.where(down, rank - left, rank), np.where(down, here - left, left), node * 2 + down
+        return n, decode(node).tolist()
+
+    def _count(self, sums: list[np.ndarray], level: int, nodes: np.ndarray) -> np.ndarray:
+        if level <= PLAIN:
+            return sums[PLAIN - level][nodes].astype(float)
+        got = []
+        for row in range(DEPTH):
+            at, sign = _cells(nodes, level, row)
+            got.append(self.signed[level - PLAIN - 1, row, at] * sign)
+        return np.median(got, axis=0)
 
 
-SKETCH = "level int, nodes array<bigint>, counts array<bigint>"
+SKETCH = "codes binary, weights binary, cells binary"
 
 
 def _schema(df: DataFrame, groups: Sequence[str]) -> str:
     return ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups) + ", "
 
 
-def sketch(df: DataFrame, value: str, groups: Sequence[str], weight: int = 1) -> DataFrame:
-    """groups, level, nodes, counts, in parts that add up. weight -1 makes the sketch of rows to be taken away."""
+def _row(codes: np.ndarray, weights: np.ndarray, updates: int = UPDATES) -> tuple[bytes | None, bytes | None, bytes | None]:
+    """Updates of distinct codes as they travel."""
+    if len(codes) > updates:
+        return None, None, Sketch().update(codes, weights).packed()
+    return codes.astype("<i4").tobytes(), weights.astype("<i8").tobytes(), None
+
+
+def _sketched(groups: list[str], weight: int, updates: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[tuple, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        schema, size = None, 0
+
+        def out() -> pa.RecordBatch:
+            g, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(g << BITS | c, kind="stable")
+            g, c = g[order], c[order]
+            first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
+            g, c, w = g[first], c[first], np.diff(np.append(first, len(g))) * weight
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            rows = [_row(c[a:b], w[a:b], updates) for a, b in zip(starts, np.append(starts[1:], len(g)), strict=True)]
+            keys = list(ids)
+            columns = [pa.array([keys[k][i] for k in g[starts]], schema.field(i).type) for i in range(len(groups))]
+            columns += [pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]
+            return pa.RecordBatch.from_arrays(columns, [*groups, "codes", "weights", "cells"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = batch.schema
+            of = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(groups)):
+                d = batch.column(i).dictionary_encode("encode")
+                of = np.unique(of * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1].astype(np.int64)
+            _, first, of = np.unique(of, return_index=True, return_inverse=True)
+            keys = zip(*(batch.column(i).take(pa.array(first)).to_pylist() for i in range(len(groups))), strict=True) if groups else [()]
+            of_key = np.array([ids.setdefault(k, len(ids)) for k in keys], np.int64)
+            held.append((of_key[of], encode(batch.column(len(groups)).to_numpy(zero_copy_only=False))))
+            size += batch.num_rows
+            if size > HELD:
+                yield out()
+                held.clear()
+                size = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def sketch(df: DataFrame, value: str, groups: Sequence[str], weight: int = 1, updates: int = UPDATES) -> DataFrame:
+    """groups, codes, weights, cells: rows that add up. weight -1 makes the sketch of rows to be taken away."""
     groups = list(groups)
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, code_of(F.col(value).cast("double")).alias("code"))
-    hist = written(rows.groupBy(*groups, "code").agg((F.count("*") * weight).alias("w")))  # read twice
-    spread = hist.groupBy(*groups).agg((F.floor(F.count("*") / CODES_A_TASK) + 1).alias("tasks"))
-    a, b = hist.alias("a"), spread.alias("b")
-    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
-    spread_out = a.join(b, on).select(*(F.col(f"a.{g}").alias(g) for g in groups), "code", "w", F.pmod(F.xxhash64("code"), "tasks").alias("part"))
-
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = list(level_rows(pdf["code"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)))
-        out = pd.DataFrame({"level": [x[0] for x in got], "nodes": [x[1] for x in got], "counts": [x[2] for x in got]})
-        for i, g in enumerate(groups):
-            out.insert(i, g, [key[i]] * len(out))
-        return out
-
-    return spread_out.groupBy(*groups, "part").applyInPandas(build, _schema(df, groups) + SKETCH)
-
-
-def _added(level: int, nodes: Sequence, counts: Sequence) -> tuple[np.ndarray | None, np.ndarray]:
-    """Sum of the sketches of one level."""
-    kept = [(np.asarray(n, np.int64), np.asarray(c, np.int64)) for n, c in zip(nodes, counts, strict=True) if n is not None]
-    cells = [np.asarray(c, np.int64) for n, c in zip(nodes, counts, strict=True) if n is None]
-    n, c = _summed(np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])) if kept else (None, None)
-    if cells or n is not None and len(n) > EXACT:
-        return None, sum(cells, np.zeros(DEPTH * WIDTH, np.int64) if n is None else _sketched(n, c, level))
-    return n, c
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, F.col(value).cast("double").alias("value"))
+    return rows.mapInArrow(_sketched(groups, weight, updates), _schema(df, groups) + SKETCH)
+
+
+def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Sketch | None]:
+    """Sum of all rows: updates, and counters where any row holds them."""
+    codes = [np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["codes"] if x is not None]
+    weights = [np.frombuffer(x, "<i8") for x in pdf["weights"] if x is not None]
+    updates = _summed(np.concatenate(codes), np.concatenate(weights)) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
+    cells = [x for x in pdf["cells"] if x is not None]
+    if not cells:
+        return *updates, None
+    total = Sketch()
+    for x in cells:
+        total.add(x)
+    return *updates, total
+
+
+def _merge(key: tuple, pdf: pd.DataFrame, groups: list[str]) -> pd.DataFrame:
+    codes, weights, total = _added(pdf)
+    row = _row(codes, weights) if total is None else (None, None, total.update(codes, weights).packed())
+    return pd.DataFrame([[*key[:len(groups)], *row]], columns=[*groups, "codes", "weights", "cells"])
+
+
+def _few(sketches: DataFrame, groups: list[str]) -> DataFrame:
+    """At most about FAN_IN rows a group: those of more are first added up by several tasks."""
+    rows = written(sketches.select(*groups, "codes", "weights", "cells"))
+    many = rows.groupBy(*groups).agg(F.ceil(F.count("*") / FAN_IN).alias("tasks")).filter("tasks > 1")
+    if many.isEmpty():
+        return rows
+    a, b = rows.alias("a"), many.alias("b")
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    names = [F.col(f"a.{c}") for c in rows.columns]
+    spread = a.join(b, on).select(*names, F.pmod(F.monotonically_increasing_id(), "tasks").alias("task"))
+    added = spread.groupBy(*groups, "task").applyInPandas(lambda key, pdf: _merge(key, pdf, groups), _schema(rows, groups) + SKETCH)
+    return a.join(b, on, "left_anti").select(*rows.columns).unionByName(added)
 
 
 def merged(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Sum of all sketches with equal groups."""
+    """Sum of all sketches with equal groups, one row each."""
     groups = list(groups)
-
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *_added(int(key[-1]), pdf["nodes"], pdf["counts"])]], columns=[*groups, "level", "nodes", "counts"])
-
-    return sketches.select(*groups, "level", "nodes", "counts").groupBy(*groups, "level").applyInPandas(add, _schema(sketches, groups) + SKETCH)
-
-
-def invert(levels: dict[int, tuple], wanted: Sequence[float]) -> tuple[int, list[float | None]]:
-    """n and the value at each wanted percentile: of rank ceil(p * n), at least 1."""
-    root = levels[0]
-    n = int(root[1].sum()) if root[0] is not None else 0
-    if n <= 0:
-        return n, [None] * len(wanted)
-
-    def count(level: int, node: int) -> float:
-        nodes, counts = levels[level]
-        if nodes is not None:
-            i = int(np.searchsorted(nodes, node))
-            return float(counts[i]) if i < len(nodes) and nodes[i] == node else 0.0
-        at, sign = _cells(np.array([node]), level)
-        return float(np.median(counts[at[:, 0]] * sign[:, 0]))
-
-    out = []
-    for p in wanted:
-        rank, node, here = max(1.0, np.ceil(p * n - 1e-9)), 0, float(n)
-        for level in range(1, BITS + 1):
-            left = min(max(count(level, node * 2), 0.0), here)
-            right = count(level, node * 2 + 1)
-            if levels[level][0] is None and right > 0:  # the halves sum up to their parent: spread what is over evenly
-                left = min(max((left + here - min(right, here)) / 2, 0.0), here)
-            if rank <= left:
-                node, here = node * 2, left
-            else:
-                rank, node, here = rank - left, node * 2 + 1, here - left
-        out.append(float(decode(np.array([node]))[0]))
-    return n, out
+    return _few(sketches, groups).groupBy(*groups).applyInPandas(lambda key, pdf: _merge(key, pdf, groups), _schema(sketches, groups) + SKETCH)
 
 
 def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Sequence[float] = PERCENTILES) -> DataFrame:
@@ -183,13 +243,12 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Sequence[flo
     groups, wanted = list(groups), [float(p) for p in wanted]
 
     def read(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        levels = {int(x): _added(int(x), part["nodes"], part["counts"]) for x, part in pdf.groupby("level")}
-        n, values = invert(levels, wanted)
-        exact = all(x[0] is not None for x in levels.values())
-        rows = [[*key, n, p, v, 0.0 if exact else RANK_ERROR, VALUE_ERROR] for p, v in zip(wanted, values, strict=True) if n > 0]
+        codes, weights, total = _added(pdf)
+        n, values = (total or Sketch()).update(codes, weights).invert(wanted)
+        rows = [[*key, n, p, v, RANK_ERROR, VALUE_ERROR] for p, v in zip(wanted, values, strict=True) if n > 0]
         return pd.DataFrame(rows, columns=[*groups, "n", "p", "estimate", "rank_error", "value_error"])
 
-    return sketches.groupBy(*groups).applyInPandas(read, _schema(sketches, groups) + "n bigint, p double, estimate double, rank_error double, value_error double")
+    return _few(sketches, groups).groupBy(*groups).applyInPandas(read, _schema(sketches, groups) + "n bigint, p double, estimate double, rank_error double, value_error double")
 
 
 def by_dimension(df: DataFrame, id_col: str, value: str, measure: str, **dimensions) -> DataFrame:

@@ -102,7 +102,7 @@ def p4_percentiles(spark, sf_dir):
 def p4_merged_days(spark, sf_dir):
     """Months from the sketches of their days."""
     days = quantiles.sketch(_measures(spark, sf_dir).filter(_key_part(1) == "day"), "x", ["key"])
-    months = days.select(_key_part(0).alias("measure"), F.substring(_key_part(2), 1, 7).alias("month"), "level", "nodes", "counts")
+    months = days.select(_key_part(0).alias("measure"), F.substring(_key_part(2), 1, 7).alias("month"), "codes", "weights", "cells")
     return quantiles.percentiles(quantiles.merged(months, ("measure", "month")), ("measure", "month"))
 
 
