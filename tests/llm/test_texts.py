@@ -1,6 +1,7 @@
 import random
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -94,7 +95,7 @@ def test_leaks(spark):
     items = spark.createDataFrame([(*i, "b", "test") for i in ITEMS], "item_id long, text string, benchmark string, split string")
     rows = [(r.doc_id, r.item_id) for r in leaks.leaks(df, items).collect()]
     assert set(rows) == brute_leaks(docs) and len(rows) == len(set(rows)) and {(1, 1), (6, 2), (8, 1), (9, 3)} <= set(rows)
-    assert leaks.report(df, items).first().leaked_items == 3
+    assert leaks.report(df, items).first().leaked_items == 3 and leaks.report(df, items).first().leaked_questions == 0
     assert leaks.leaks(df.limit(0), items).isEmpty() and leaks.leaks(df, items.limit(0)).isEmpty()
 
 
@@ -106,18 +107,28 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in leaks.leaks(df, items).collect()} == once == {(1, 1), (2, 2)}
 
 
-def test_retrieval_equals_exhaustive_scoring():
-    rng = random.Random(7)
+@pytest.mark.parametrize("items", [1, 60, 400])
+def test_retrieval_equals_exhaustive_scoring(items):
+    rng = random.Random(items)
     vocab = [f"v{i}" for i in range(120)]
-    index = leaks.Index([(i, " ".join(rng.choice(vocab) for _ in range(40))) for i in range(60)])
-    for _ in range(150):
-        terms = set(rng.sample(vocab, rng.randint(5, 40)))
+    skewed = lambda: vocab[min(119, int(rng.expovariate(0.05)))]
+    index = leaks.Index([(i, " ".join(skewed() for _ in range(40))) for i in range(items)])
+    passages = [sorted({index.vocabulary[w] for w in rng.sample(vocab, rng.randint(1, 60)) if w in index.vocabulary}) for _ in range(150)]
+    want = set()
+    for p, terms in enumerate(passages):
         score = {}
-        for w in terms:
-            docs, impacts, _, _ = index.lists.get(w, ([], [], [], 0))
-            for d, v in zip(docs, impacts, strict=True):
+        for t, d, v in zip(index.p_term, index.p_item, index.p_impact, strict=True):
+            if t in terms:
                 score[d] = score.get(d, 0) + v
-        assert sorted(index.retrieve(terms)) == sorted(d for d, s in score.items() if s >= 1)
+        want |= {(p, d) for d, s in score.items() if s >= 1}
+    got = index.retrieve(np.array([p for p, x in enumerate(passages) for _ in x]), np.array([t for x in passages for t in x]))
+    assert set(zip(*map(np.ndarray.tolist, got), strict=True)) == want and (items == 1 or want)
+
+
+def test_question_words():
+    index = leaks.Index([(1, "one two three four five six seven. Which eight nine ten eleven twelve?"), (2, "a b c d e f g h i j k")])
+    (m,) = index.matches([words_ := posts.words("x three four five six seven which eight nine ten eleven y")]).itertuples()
+    assert (m.item, m.start, m.end, m.question_words) == (1, 1, 11, 5) and len(words_) == 12
 
 
 SEEDS = [(i, f"The {a} needs a {b}. After the {b} came the {a}. We like {c} and {a}.", s) for i, (a, b, c, s) in enumerate(
