@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from typegram.llm.posts import words
 
-RUN, PASSAGE, BLOCK = 10, 64, 16
+RUN, PASSAGE, BLOCK = 10, 24, 16
 K1, B = 1.2, 0.75
 #: Items of one index, which is broadcast. More items are indexed in parts of about this size, one pass over the words each.
 ITEMS = 20_000
