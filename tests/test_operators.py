@@ -87,32 +87,71 @@ def test_cpp_types(spark):
     assert types.resolved_aliases(spark.createDataFrame([("a",), ("z",)], "n string"), "n", a).count() == 2
 
 
-@pytest.mark.parametrize(("actual", "expected", "ok"), [
+ASSIGNABLE = [
     ("int", "float", True), ("float", "int", False), ("bool", "complex", True), ("int | str", "object", True), ("int | str", "int", False), ("int", "int | None", True),
     ("list[int]", "Iterable[int]", True), ("list[str]", "Iterable[int]", False), ("list[bool]", "Iterable[float]", True), ("list[bool]", "MutableSequence[int]", False),
     ("dict[str, int]", "Mapping[str, float]", True), ("dict[str, int]", "MutableMapping[str, float]", False), ("str", "Sequence[str]", True), ("range", "Iterable[int]", True),
     ("tuple[int, str]", "Iterable[int]", False), ("Any", "Never", True), ("Never", "int", True), ("list[int]", "Hashable", False), ("int", "_T", True), ("set[int]", "AnyStr", False),
     ("Literal['a']", "AnyStr", True), ("list[int] & Sized", "Sized", True), ("def f(x) -> int", "Callable[[int], int]", True), ("int", "Callable", False), ("bytes", "Buffer", True),
-])
-def test_assignability(actual, expected, ok):
-    assert assign.is_assignable(actual, expected) is ok
+    ("list[int] | str", "Iterable[object]", True), ("list[list[bool]]", "Iterable[Sequence[int]]", True), ("list[list[str]]", "Iterable[Sequence[int]]", False), ("tuple[int, bool]", "Sequence[float]", True),
+    ("dict_items[str, int]", "Iterable[tuple[str, int]]", True), ("dict_items[str, int]", "Iterable[tuple[str, str]]", False), ("list[int]", "list[_T]", True), ("list[int]", "list[bool]", False),
+    ("list[int]", "list[SupportsRichComparisonT]", True), ("list[set[int]]", "list[SupportsRichComparisonT]", False), ("int", "SupportsRichComparisonT", True), ("set[int]", "Sized & Iterable[int]", True),
+    ("range", "Sized & Iterable[str]", False), ("list[int] | Any", "str | Iterable[int]", True), ("defaultdict[str, int]", "dict[str, int]", False), ("Generator[int, None, None]", "Iterable[float]", True),
+    ("typing.List[int]", "object", True), ("bytes", "Iterable[int]", True), ("tuple[()]", "Sequence[int]", True), ("type[int]", "type", True), ("dict[str, int]", "Iterable[str]", True), ("frozenset[int]", "MutableSet[int]", False),
+]
+
+
+def test_assignability(spark):
+    pairs = spark.createDataFrame([(a, e) for a, e, _ in ASSIGNABLE], "actual string, expected string")
+    got = {(r.actual, r.expected): r.assignable for r in assign.judged(pairs).collect()}
+    assert {k: ok for *k, ok in ((a, e, got[a, e]) for a, e, _ in ASSIGNABLE) for k in [tuple(k)]} == {(a, e): ok for a, e, ok in ASSIGNABLE}
 
 
 def test_assign_relations(spark):
-    a, e = spark.createDataFrame([("int",), ("str",)], "a string"), spark.createDataFrame([("float",), ("object",)], "e string")
+    a, e = spark.createDataFrame([("int",), ("str",), (None,)], "a string"), spark.createDataFrame([("float",), ("object",), ("int",)], "e string")
     assert {tuple(r) for r in assign.links(a, e).collect()} == {("float", "int"), ("object", "int"), ("object", "str")}
-    with pytest.raises(ValueError, match="more than"):
-        assign.links(a, e, limit=1)
-    assert assign.result_type("/", "int", "int") == "float" and assign.result_type("%", "complex", "int") is None and assign.result_type("*", "str", "int") == "str"
+    assert assign.links(a.limit(0), e).isEmpty() and assign.links(a, e.limit(0)).isEmpty()
+    types = spark.createDataFrame([(x,) for x in ("int", "complex", "str", "list[int]", "list[str]", "other")], "type string")
+    got = {(r.op, r.left, r.right): r.result for r in assign.binary_results(types).collect()}
+    assert got["/", "int", "int"] == "float" and ("%", "complex", "int") not in got and got["*", "str", "int"] == got["*", "int", "str"] == "str"
+    assert got["+", "list[int]", "list[str]"] == "list" and got["+", "str", "str"] == "str" and not any("other" in k for k in got)
+
+
+def brute_layouts(sig, most):
+    """All positional prefixes and orders of names that inspect can bind."""
+    import inspect
+    from itertools import permutations
+
+    kinds = {"posonly": inspect.Parameter.POSITIONAL_ONLY, "poskw": inspect.Parameter.POSITIONAL_OR_KEYWORD, "kwonly": inspect.Parameter.KEYWORD_ONLY}
+    s = inspect.Signature([inspect.Parameter(n, kinds[k], default=inspect.Parameter.empty if r else None) for n, _, k, r in sig])
+    out = set()
+    for i in range(most + 1):
+        for j in range(most + 1 - i):
+            for names in permutations([p[0] for p in sig], j):
+                try:
+                    s.bind(*range(i), **dict.fromkeys(names))
+                except TypeError:
+                    continue
+                out.add((tuple(p[1] for p in sig if p[2] != "kwonly")[:i], names))
+    return out
+
+
+def of_layouts(spark, sigs, *limits):
+    df = spark.createDataFrame([(f"f{i}", [tuple(p) for p in s]) for i, s in enumerate(sigs)], f"callable string, params {layouts.PARAMETERS}")
+    out = [[] for _ in sigs]
+    for r in layouts.with_layouts(df, "params", *limits).collect():
+        out[int(r.callable[1:])].append((tuple(r.positional), tuple(k.name for k in r.keywords)))
+    return out
 
 
 def test_layouts(spark):
-    sig = [("a", "A", "posonly", True), ("b", "B", "poskw", False), ("k", "K", "kwonly", True)]
-    got = layouts.argument_layouts(sig, 3, 64)
-    assert got == [(("A",), (("k", "K"),)), (("A",), (("b", "B"), ("k", "K"))), (("A",), (("k", "K"), ("b", "B"))), (("A", "B"), (("k", "K"),))]
-    var = layouts.argument_layouts([("x", "X", "vararg", False)], 2, 64)
-    assert var == [((), ()), (("X",), ()), (("X", "X"), ())]
-    assert len(layouts.argument_layouts([(f"k{i}", "K", "kwonly", False) for i in range(12)], 12, 64)) == 64
+    sigs = [[("a", "A", "posonly", True), ("b", "B", "poskw", False), ("k", "K", "kwonly", True)], [("a", "A", "poskw", True), ("b", "B", "poskw", False), ("c", "C", "kwonly", False)],
+            [("x", "X", "posonly", False), ("y", "Y", "poskw", False)], [], [("a", "A", "kwonly", True), ("b", "B", "kwonly", True)]]
+    for got, sig in zip(of_layouts(spark, sigs, 3, 64), sigs, strict=True):
+        assert len(got) == len(set(got)) and set(got) == brute_layouts(sig, 3)
+    more = of_layouts(spark, [[("x", "X", "vararg", False)], [(f"k{i:02}", "K", "kwonly", False) for i in range(12)], [(f"k{i:02}", "K", "kwonly", True) for i in range(13)]], 12, 64)
+    assert sorted(more[0]) == [(("X",) * n, ()) for n in range(13)] and more[2] == []
+    assert len(more[1]) == 64 and {(), ("k00",), ("k11",), ("k00", "k01"), ("k01", "k00")} <= {k for _, k in more[1]}
     df = spark.createDataFrame([("f", [("a", "A", "posonly", True)])], f"callable string, params {layouts.PARAMETERS}")
     row = layouts.with_layouts(df).select(layouts.call_symbols(F.col("callable")).alias("s")).first()
     assert [s.value for s in row.s] == ["f", "(", "A", ")"]

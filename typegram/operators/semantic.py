@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typegram.operators import grammar as g
-from typegram.operators.assign import elements, generic, links, result_type
+from typegram.operators.assign import binary_results, elements, generic, links
 from typegram.operators.calls import LITERALS, SLICES
 from typegram.operators.prune import generating, useful
 from typegram.session import cut
 
 DYNAMIC = ("Any", "Unknown")
 UNARY = ("+", "-", "~")
-ARITHMETIC = ("+", "-", "*", "/", "//", "%", "**")
 NUMERIC = ("bool", "int", "float", "complex")
 #: Types whose values compare with themselves (fixed values).
 COMPARABLE = ("bool", "int", "float", "str", "bytes")
@@ -113,20 +112,10 @@ def subscript_rules(types: DataFrame) -> DataFrame:
     return types.select("type").distinct().mapInPandas(run, g.SCHEMA).distinct()
 
 
-def binary_rules(types: DataFrame, limit: int = 2_000) -> DataFrame:
-    """E:result -> E:left op E:right of all defined pairs of built-in types; the set of types is checked to be small."""
-    import pandas as pd
-
-    right = [r[0] for r in types.select("type").distinct().limit(limit + 1).collect()]
-    if len(right) > limit:
-        raise ValueError(f"more than {limit} types")
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(f"E:{r}", [("N", f"E:{x}"), ("T", op), ("N", f"E:{y}")]) for x in pdf["type"] for y in right for op in ARITHMETIC if (r := result_type(op, x, y))]
-            yield pd.DataFrame(rows, columns=["lhs", "rhs"])
-
-    return types.select("type").distinct().mapInPandas(run, g.SCHEMA).distinct()
+def binary_rules(types: DataFrame) -> DataFrame:
+    """E:result -> E:left op E:right of all defined pairs of built-in types."""
+    n = lambda c: g.symbol("N", e(F.col(c)))
+    return g.productions(binary_results(types), e(F.col("result")), n("left"), g.symbol("T", F.col("op")), n("right")).distinct()
 
 
 def correlated_rules(callables: DataFrame, types: DataFrame) -> DataFrame:

@@ -235,16 +235,34 @@ def failure_classes(spark, sf_dir):
     return r.select("outcome_id", diagnostics.failure_class(kind, codes, F.lit(""), F.lit(False)).alias("reason"))
 
 
-@query("assignability_links")
+@query("assignability_links", """
+WITH b AS (SELECT DISTINCT replace(p_brand, '#', '_') AS b FROM part),
+a AS (SELECT b, 'list[' || b || ']' AS actual, 'list' AS c FROM b UNION SELECT b, 'dict[' || b || ', bool]', 'dict' FROM b UNION SELECT b, 'tuple[' || b || ', str]', 'tuple' FROM b
+      UNION SELECT b, 'list[set[' || b || ']] | deque[' || b || ']', 'union' FROM b UNION SELECT b, 'range', 'range' FROM b),
+e AS (SELECT b, 'Iterable[' || b || ']' AS expected, 'I' AS p FROM b UNION SELECT b, 'Sequence[' || b || '] | None', 'S' FROM b UNION SELECT b, 'Mapping[' || b || ', float]', 'M' FROM b UNION SELECT b, 'MutableMapping[' || b || ', float]', 'X' FROM b
+      UNION SELECT b, 'MutableSequence[' || b || ']', 'Q' FROM b UNION SELECT b, 'Iterable[' || b || ' | str]', 'U' FROM b UNION SELECT b, 'Sequence[Iterable[' || b || '] | ' || b || ']', 'N' FROM b),
+k AS (SELECT 'list' AS c, unnest(['I', 'S', 'Q', 'U', 'N']) AS p UNION SELECT 'dict', unnest(['I', 'M', 'U']) UNION SELECT 'tuple', 'U' UNION SELECT 'union', 'N'),
+f AS (SELECT unnest(['Sized', 'Hashable', 'Iterable[int]', 'object']) AS expected)
+SELECT expected, actual FROM a JOIN k USING (c) JOIN e USING (b, p)
+UNION SELECT expected, actual FROM a, f WHERE expected IN ('object', 'Sized') OR expected = 'Hashable' AND c IN ('tuple', 'range') OR expected = 'Iterable[int]' AND c = 'range'
+""")
 def assignability_links(spark, sf_dir):
-    """Each measured kind of column as a displayed type, against protocols."""
-    p = table(spark, sf_dir, "part").select("p_type", "p_size").distinct()
-    actual = p.select(F.format_string("list[%s]", F.when(F.col("p_size") % 2 == 0, "int").otherwise("str")).alias("actual")).union(p.select(F.get(F.array(*map(F.lit, ("int", "bool", "dict[str, int]", "range", "tuple[int, str]"))), F.col("p_size") % 5)))
-    expected = spark.createDataFrame([(x,) for x in ("Iterable[int]", "Sequence[str]", "float", "object", "Mapping[str, int]", "int | None", "Sized")], "expected string")
+    """Containers of brands against protocols of brands, and some of neither."""
+    b = table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "#", "_").alias("b")).distinct()
+    spelled = lambda *forms: b.select(F.explode(F.array(*(F.regexp_replace(F.lit(f), "B", F.col("b")) if "B" in f else F.lit(f) for f in forms))).alias("type")).distinct()
+    actual = spelled("list[B]", "dict[B, bool]", "tuple[B, str]", "list[set[B]] | deque[B]", "range")
+    expected = spelled("Iterable[B]", "Sequence[B] | None", "Mapping[B, float]", "MutableMapping[B, float]", "MutableSequence[B]", "Iterable[B | str]", "Sequence[Iterable[B] | B]", "Sized", "Hashable", "Iterable[int]", "object")
     return assign.links(actual, expected)
 
 
-@query("argument_layouts")
+@query("argument_layouts", """
+WITH s AS (SELECT DISTINCT p_brand AS callable, p_type AS t FROM part),
+places AS (SELECT *, 'int' AS second, unnest([1, 2]) AS taken FROM s),
+rest AS (SELECT *, unnest(range(0, 5 - taken)) AS repeats FROM places),
+names AS (SELECT *, unnest(CASE taken WHEN 1 THEN [[], ['b = int'], ['flag = bool'], ['b = int', 'flag = bool'], ['flag = bool', 'b = int']] ELSE [[], ['flag = bool']] END) AS n FROM rest)
+SELECT callable, callable || ' ( ' || array_to_string(list_concat(list_concat([t], CASE taken WHEN 2 THEN [second] ELSE [] END), list_concat(list_transform(range(0, repeats), lambda i: 'str'), n)), ' , ') || ' )' AS call
+FROM names WHERE taken + repeats + len(n) <= 4
+""")
 def argument_layouts(spark, sf_dir):
     """Signatures of brand(type, size=, *rest, flag=) in all their layouts."""
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("callable"), F.col("p_type").alias("t")).distinct()
