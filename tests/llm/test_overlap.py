@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from typegram.llm import overlap
 
 SCHEMA = "source_id long, data binary, split string, id string, side string, words string"
@@ -192,3 +194,33 @@ def test_copies_do_not_split_their_near_copies(spark):
         assert overlap.found(df).groupBy("id_b").count().filter("count = 12000").count() == len(near)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_suffix_order_and_common_prefixes():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 4, rng.integers(2, 40)).astype("<u4") for _ in range(40)]
+    a, doc = np.concatenate(texts), np.repeat(np.arange(40), [len(t) for t in texts])
+    at = np.arange(len(a))
+    name, next_ = a.astype(np.uint64), overlap.following(a, doc, at)
+    order, lcp = overlap.suffix_order(name, next_)
+    short = {int(w): int(s) for w, s in zip(a, (a.astype(np.uint64) * overlap._MIX >> np.uint64(48)).astype(np.uint16) | 1, strict=True)}
+    suffix = [(int(a[i]), *(short[int(w)] for w in a[i + 1:min(i + 1 + overlap.NEXT, len(a))][doc[i + 1:min(i + 1 + overlap.NEXT, len(a))] == doc[i]])) for i in at]
+    padded = [s + (0,) * (overlap.NEXT + 1 - len(s)) for s in suffix]
+    assert [padded[i] for i in order] == sorted(padded)
+    for k in range(1, len(order)):
+        x, y = suffix[order[k - 1]], suffix[order[k]]
+        assert lcp[k] == next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+
+
+def test_coverage_is_a_common_subsequence():
+    """Never more words than the longest one, and all of a text that is only cut in pieces by insertions."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = rng.integers(0, 12, rng.integers(2, 60)).astype("<u4")
+        y = np.insert(x, rng.integers(0, len(x), 5), rng.integers(100, 200, 5)).astype("<u4") if rng.random() < 0.5 else rng.permutation(x)
+        spans = [(i, j, 1) for i in range(len(x)) for j in range(len(y)) if x[i] == y[j] and rng.random() < 0.5]
+        got = overlap.covered_words(x.tobytes(), y.tobytes(), spans)
+        assert got <= overlap.common_words(x.tobytes(), y.tobytes()) and (got > 0) == bool(spans)
+    x = np.arange(100, dtype="<u4")
+    y = np.insert(x, [20, 50, 51, 80], 999).astype("<u4")
+    assert overlap.covered_words(x.tobytes(), y.tobytes(), [(i, int(np.flatnonzero(y == i)[0]), 1) for i in (3, 30, 50, 60, 90)]) == 100

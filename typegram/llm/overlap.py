@@ -1,13 +1,19 @@
-"""Same or near-same records across splits, from the rarest words of every text.
-
-Each text is taken once (one row per text_key, with all its sides) as the set of its words, repeats numbered, in one order
-for all texts: rarest first, as a sketch of the words' document frequencies says (any order is right, a good one is fast).
-A near pair has four fifths of the longer text in common. So the first word they share stands among the first
-n - ceil(0.8 n) + 1 of either, and a text listed under these meets every partner. Where a list is long and it costs
-less, its texts are listed under the first two, three or four shared words instead, whose places are bounded likewise; lists
-that are still large are joined in blocks by several tasks. No list is cut, and no pair depends on its size.
-Within a list, length, place and a word profile bound the overlap from above, so no pair is lost by them. Candidate pairs
-are then checked exactly by the longest common subsequence of words.
+"""Same or near-same records across splits, from a partitioned sparse suffix array of the texts.
+
+Each text is taken once (one row per text_key, with all its sides). Suffixes start at its rarest words, as a sketch of the
+words' document frequencies says (any order is right, a good one is fast). A near pair has four fifths of the longer text in
+common; so the first word they share in that order, repeats numbered, stands among the first n - ceil(0.8 n) + 1 of either,
+and suffixes from these places alone meet every partner: a full suffix array would find no pair more. Suffixes are
+partitioned by their first word and sorted, cut to NEXT further words; common prefixes of neighbours give the intervals of
+suffixes that share one, and a pair of one interval across the splits has a shared span there. Where an interval is long
+and it costs less, its suffixes are named by the first two, three or four shared words instead, whose places are bounded
+likewise; intervals that are still large are joined in blocks by several tasks. None is cut, and no pair depends on its size.
+Length, place and a word profile bound the overlap of a pair from above, so no pair is lost by them.
+
+The spans of a pair are extended to maximal ones and merged into its coverage, the words of either that spans in the same
+order hold. A pair covered to four fifths is near; of the others, whose common words lie too scattered for that, the longest
+common subsequence of words decides. (Long common prefixes alone would lose these: a fifth of the words changed leaves no
+span longer than four.)
 
 Defined cases: rows with NULL or undecodable data, without letter or digit, with another split or a NULL id belong to no
 pair; texts repeated under several ids are compared once and all their ids are paired; an empty table gives no rows.
@@ -16,7 +22,7 @@ pair; texts repeated under several ids are compared once and all their ids are p
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +43,8 @@ CAP, BLOCK = 64, 4096
 LEVELS, SPREAD, WORTH, AGAIN = 4, 8, 60, 4
 #: Counters of the sketch, most long lists per level, and words taken at once.
 COUNTERS_LOG2, LONG_LISTS, PIECE = 20, 500_000, 200_000
+#: Words of a suffix after its first one.
+NEXT = 8
 SIMILAR = 0.8
 TRAIN, EVAL = 1, 2
 
@@ -118,14 +126,32 @@ def may_overlap(x: np.ndarray, y: np.ndarray, least: np.ndarray, nx: np.ndarray
     return fits if nx is None else fits & (nx - over >= least) & (ny - under >= least)
 
 
-def numbered_words(a: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """64-bit names of (word, which of its occurrences in the text), by text."""
-    a = a[np.lexsort((a, doc))].astype(np.uint64)
+def numbered_words(a: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of (word, which of its occurrences in the text), by text, and where in a they stand."""
+    at = np.lexsort((a, doc))
+    a = a[at].astype(np.uint64)
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(new)
     nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-    return _mixed((a + np.uint64(1)) * _MIX + nth.astype(np.uint64) * _BASE)
+    return _mixed((a + np.uint64(1)) * _MIX + nth.astype(np.uint64) * _BASE), at
+
+
+def following(a: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """16-bit names of the NEXT words after each place, 0 beyond the end of its text."""
+    short = ((a.astype(np.uint64) * _MIX) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    to = at[:, None] + np.arange(1, NEXT + 1)
+    inside = np.minimum(to, len(a) - 1)
+    return np.where((to < len(a)) & (doc[inside] == doc[at][:, None]), short[inside], np.uint16(0))
+
+
+def suffix_order(name: np.ndarray, following_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the words that each suffix has in common with the one before it."""
+    order = np.lexsort((*following_.T[::-1], name))
+    same = (following_[order][1:] == following_[order][:-1]) & (following_[order][1:] > 0)
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = np.where(name[order][1:] == name[order][:-1], 1 + np.cumprod(same, axis=1).sum(axis=1), 0)
+    return order, lcp
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,7 +170,7 @@ def _counter(h: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
     for _, _, a, doc in _pieces(batches):
-        counts += np.bincount(_counter(numbered_words(a, doc)), minlength=len(counts))
+        counts += np.bincount(_counter(numbered_words(a, doc)[0]), minlength=len(counts))
     for i, part in enumerate(counts.reshape(16, -1)):
         if part.any():
             yield pd.DataFrame({"part": [i], "counts": [part.astype("<i4").tobytes()]})
@@ -173,24 +199,26 @@ def _places(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def listings(lens: np.ndarray, a: np.ndarray, doc: np.ndarray, often: np.ndarray, longer: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The lists of each text, by the number of shared words that name them: name, text, words after the last one, words that
-    a longer name could add, frequency of the first word. longer: per level the lists that are named by one word more."""
-    h = numbered_words(a, doc)
-    h = h[np.lexsort((h, doc << 32 | often[_counter(h)]))]
+    """The suffixes of each text, by the number of shared words that name them: name, text, words after the last one in the
+    order by frequency, words that a longer name could add, frequency of the first word, its place in a. longer: per level the
+    intervals that are named by one word more."""
+    h, where = numbered_words(a, doc)
+    order = np.lexsort((h, doc << 32 | often[_counter(h)]))
+    h, where = h[order], where[order]
     place = np.arange(len(h)) - (np.cumsum(lens) - lens)[doc]
     spare = lens - least_common(lens)
     at = np.flatnonzero(place <= spare[doc])
-    name, first = h[at], often[_counter(h[at])]
+    name, first, begin = h[at], often[_counter(h[at])], where[at]
     for level in range(1, len(longer) + 2):
         d = doc[at]
         more = np.minimum(spare[d] + level, lens[d] - 1) - place[at]  # the next shared word is one of so many
         split = _places(name, longer[level - 1])[0] if level <= len(longer) else np.zeros(len(at), bool)
         keep = ~split
-        yield name[keep], d[keep], lens[d[keep]] - 1 - place[at[keep]], more[keep], first[keep]
-        at, name, first, more = at[split], name[split], first[split], more[split]
+        yield name[keep], d[keep], lens[d[keep]] - 1 - place[at[keep]], more[keep], first[keep], begin[keep]
+        at, name, first, more, begin = at[split], name[split], first[split], more[split], begin[split]
         of = np.repeat(np.arange(len(at)), more)
         at = at[of] + 1 + np.arange(len(of)) - (np.cumsum(more) - more)[of]
-        name, first = _mixed(name[of] * _BASE + h[at]), first[of]
+        name, first, begin = _mixed(name[of] * _BASE + h[at]), first[of], begin[of]
 
 
 def _list_sizes(often: np.ndarray, longer: list[np.ndarray], cap: int):
@@ -198,7 +226,7 @@ def _list_sizes(often: np.ndarray, longer: list[np.ndarray], cap: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, lens, a, doc in _pieces(batches):
-            *_, (name, d, _, more, first) = listings(lens, a, doc, often, longer)
+            *_, (name, d, _, more, first, _) = listings(lens, a, doc, often, longer)
             may = first > cap
             side = rows["side"].to_numpy(np.int64)[d[may]]
             if len(side):
@@ -214,48 +242,56 @@ def _listed(often: np.ndarray, longer: list[np.ndarray], wide: dict[str, np.ndar
         for rows, lens, a, doc in _pieces(batches):
             key, side = rows["text_key"].to_numpy(np.int64), rows["side"].to_numpy(np.int8)
             profile = np.array([x.tobytes() for x in profiles(a, doc, len(lens))] + [None], dtype=object)
-            for level, (name, d, after, _, _) in enumerate(listings(lens, a, doc, often, longer), 1):
+            start = np.cumsum(lens) - lens
+            for level, (name, d, after, _, _, begin) in enumerate(listings(lens, a, doc, often, longer), 1):
                 is_wide, at = _places(name, wide["name"])
-                parts = [(name[~is_wide], d[~is_wide], after[~is_wide], side[d[~is_wide]])]
+                i = np.flatnonzero(~is_wide)
+                parts = [(name[i], i, side[d[i]])]
                 if is_wide.any():  # own block of the own side, all blocks of the other
-                    name, d, after, at = name[is_wide], d[is_wide], after[is_wide], at[is_wide]
                     for bit, own, other in ((EVAL, "e", "t"), (TRAIN, "t", "e")):
-                        i = np.flatnonzero(side[d] & bit)
+                        i = np.flatnonzero(is_wide & (side[d] & bit > 0))
                         mine = (_mixed(key[d[i]].view(np.uint64)) % wide[own][at[i]].astype(np.uint64)).astype(np.int64)
-                        of = np.repeat(np.arange(len(i)), wide[other][at[i]])
                         count = wide[other][at[i]]
+                        of = np.repeat(np.arange(len(i)), count)
                         others = np.arange(len(of)) - (np.cumsum(count) - count)[of]
                         e, t = (mine[of], others) if bit == EVAL else (others, mine[of])
                         block = _mixed(name[i[of]] + (e.astype(np.uint64) << np.uint64(32)) * _MIX + t.astype(np.uint64) * _BASE)
-                        parts.append((block, d[i[of]], after[i[of]], np.full(len(of), bit, np.int8)))
-                for name_, d_, after_, side_ in parts:
-                    if len(name_):
-                        yield pd.DataFrame({"name": name_.view(np.int64), "text_key": key[d_], "side": side_, "level": np.int8(level), "n": lens[d_].astype(np.int32),
-                                            "after": after_.astype(np.int32), "profile": profile[d_]})
+                        parts.append((block, i[of], np.full(len(of), bit, np.int8)))
+                for name_, i, side_ in parts:
+                    if len(i):
+                        next_ = following(a, doc, begin[i])
+                        yield pd.DataFrame({"name": name_.view(np.int64), "text_key": key[d[i]], "side": side_, "level": np.int8(level), "n": lens[d[i]].astype(np.int32),
+                                            "after": after[i].astype(np.int32), "place": (begin[i] - start[d[i]]).astype(np.int32),
+                                            "next": [x.tobytes() for x in next_], "profile": profile[d[i]]})
 
     return run
 
 
 def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of an evaluation and a training text of one list that leave room for four fifths."""
+    """Pairs of an evaluation and a training text with suffixes in one interval that leave room for four fifths, and the span
+    that these share."""
     frames = [x for x in batches if len(x)]
     if not frames:
         return
     f = {c: np.concatenate([x[c].to_numpy() for x in frames]) for c in frames[0].columns}
     del frames
+    next_ = np.frombuffer(b"".join(f.pop("next")), np.uint16).reshape(-1, NEXT)
+    order, lcp = suffix_order(f["name"], next_)
+    f, next_ = {c: x[order] for c, x in f.items()}, next_[order]
     profile = np.frombuffer(b"".join(f.pop("profile")), np.uint8).reshape(-1, 32)
-    key, n, after, level = f["text_key"], f["n"].astype(np.int64), f["after"], f["level"]
-    of = np.unique(f["name"], return_inverse=True)[1].astype(np.int64) << 32
+    key, n, after, level, place = f["text_key"], f["n"].astype(np.int64), f["after"], f["level"], f["place"]
+    of = np.cumsum(lcp == 0) << 32  # intervals of suffixes with a common prefix
     e, t = np.flatnonzero(f["side"] & EVAL), np.flatnonzero(f["side"] & TRAIN)
     t = t[np.argsort(of[t] | n[t], kind="stable")]
     by = of[t] | n[t]
     low, high = np.searchsorted(by, of[e] | least_common(n[e]), "left"), np.searchsorted(by, of[e] | 5 * n[e] // 4, "right")
     e, low, count = e[high > low], low[high > low], (high - low)[high > low]
     ends = np.cumsum(count)
-    done, a_out, b_out, held = 0, [], [], 0
+    done, out, held = 0, [], 0
 
-    def out() -> pd.DataFrame:
-        return pd.DataFrame({"a": np.concatenate(a_out), "b": np.concatenate(b_out)}).drop_duplicates()
+    def flush() -> pd.DataFrame:
+        a, b, pa, pb, words = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"a": a, "b": b, "pa": pa, "pb": pb, "words": words}).drop_duplicates()
 
     while done < len(e):
         to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 500_000, "right")))
@@ -267,18 +303,20 @@ def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         good = (key[x] != key[y]) & (level[x] + np.minimum(after[x], after[y]) >= least)
         x, y, least = x[good], y[good], least[good]
         fits = may_overlap(profile[x], profile[y], least, n[x], n[y])
-        a_out.append(key[x[fits]])
-        b_out.append(key[y[fits]])
-        held += len(a_out[-1])
-        if held > 2_000_000:
-            yield out()
-            a_out, b_out, held = [], [], 0
+        x, y = x[fits], y[fits]
+        words = 1 + np.cumprod((next_[x] == next_[y]) & (next_[x] > 0), axis=1).sum(axis=1)
+        out.append((key[x], key[y], place[x], place[y], words.astype(np.int32)))
+        held += len(x)
+        if held > 1_000_000:
+            yield flush()
+            out, held = [], 0
     if held:
-        yield out()
+        yield flush()
 
 
 def candidates(texts: DataFrame, cap: int = CAP) -> DataFrame:
-    """a, b: keys of an evaluation text and a training text that share a word they must share, and may share four fifths."""
+    """a, b, spans: keys of an evaluation text and a training text with suffixes in one interval that may share four fifths, and
+    where their spans begin in either, with as many words as the suffix array shows of them."""
     spark = texts.sparkSession
     texts = texts.filter("n > 1")  # one word: near copies are equal
     often = frequencies(texts)
@@ -305,8 +343,9 @@ def candidates(texts: DataFrame, cap: int = CAP) -> DataFrame:
     wide = wide.sort_values("name")
     blocks = {"name": wide["name"].to_numpy(), **{c: -(-wide[c].to_numpy() // BLOCK) for c in "et"}}
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 500_000 + 1)
-    lists = texts.mapInPandas(_listed(often, longer, blocks), "name bigint, text_key bigint, side tinyint, level tinyint, n int, after int, profile binary")
-    return lists.repartition(parts, "name").mapInPandas(_list_pairs, "a bigint, b bigint").distinct()
+    lists = texts.mapInPandas(_listed(often, longer, blocks), "name bigint, text_key bigint, side tinyint, level tinyint, n int, after int, place int, next binary, profile binary")
+    found = lists.repartition(parts, "name").mapInPandas(_list_pairs, "a bigint, b bigint, pa int, pb int, words int")
+    return found.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb", "words")).alias("spans"))  # no more than a text's suffixes
 
 
 def common_words(x: bytes, y: bytes) -> int:
@@ -332,20 +371,53 @@ def common_words(x: bytes, y: bytes) -> int:
     return head + tail + len(a) - v.bit_count()
 
 
+def covered_words(x: bytes, y: bytes, spans: Iterable[tuple[int, int, int]]) -> int:
+    """Words of either text in shared spans that stand in the same order in both: spans from these places on, extended to
+    maximal ones, longest first, each cut to what the ones before it leave free."""
+    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    maximal: dict[int, list[tuple[int, int]]] = {}
+    for i, j, words in sorted(spans):
+        known = maximal.setdefault(i - j, [])
+        if known and known[-1][1] >= i + words:
+            continue
+        if a[i] != b[j]:
+            continue  # the name was of other words
+        m = min(len(a) - i, len(b) - j)
+        differ = a[i:i + m] != b[j:j + m]
+        right = int(differ.argmax()) if differ.any() else m
+        m = min(i, j)
+        differ = (a[i - m:i] != b[j - m:j])[::-1]
+        left = int(differ.argmax()) if differ.any() else m
+        known.append((i - left, i + right))
+    taken: list[tuple[int, int, int, int]] = []
+    for size, d, start, end in sorted(((end - start, d, start, end) for d, known in maximal.items() for start, end in known), reverse=True):
+        for p, q, r, s in taken:
+            # before or after the span taken in both texts, cut where it overlaps
+            if start < p and start - d < r:
+                end = min(end, p, r + d)
+            else:
+                start = max(start, q, s + d)
+        if end > start:
+            taken.append((start, end, start - d, end - d))
+    return sum(q - p for p, q, _, _ in taken)
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep = [common_words(x, y) * 5 >= 4 * (max(len(x), len(y)) // 4) for x, y in zip(pdf["wa"], pdf["wb"], strict=True)]
-        yield pdf.loc[keep, ["a", "b"]]
+        covered = [covered_words(x, y, [(s["pa"], s["pb"], s["words"]) for s in z]) for x, y, z in zip(pdf["wa"], pdf["wb"], pdf["spans"], strict=True)]
+        near = [c * 20 >= 4 * max(len(x), len(y)) or common_words(x, y) * 5 >= 4 * (max(len(x), len(y)) // 4) for c, x, y in zip(covered, pdf["wa"], pdf["wb"], strict=True)]
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "coverage": [4.0 * c / len(x) for c, x in zip(covered, pdf["wa"], strict=True)]})[near]
 
 
 def near_texts(tok: DataFrame, cap: int = CAP) -> DataFrame:
-    """a, b: keys of evaluation and training texts of which at least four fifths of either's words stand in the other in order."""
+    """a, b, coverage: keys of evaluation and training texts of which at least four fifths of either's words stand in the other
+    in order, and the share of the evaluation text that shared spans cover."""
     texts = written(tok.groupBy("text_key").agg(F.bit_or("side").alias("side"), F.first("n").alias("n"), F.first("words").alias("words")))
     pairs = written(candidates(texts, cap))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
     texts = written(texts.select("text_key", "words").join(needed, "text_key", "left_semi"))
     wa, wb = (texts.select(F.col("text_key").alias(k), F.col("words").alias("w" + k)) for k in "ab")
-    return written(pairs.join(wa, "a").join(wb, "b").select("a", "b", "wa", "wb").mapInPandas(_verify, "a bigint, b bigint"))
+    return written(pairs.join(wa, "a").join(wb, "b").select("a", "b", "spans", "wa", "wb").mapInPandas(_verify, "a bigint, b bigint, coverage double"))
 
 
 def split_side(split: Column) -> Column:
@@ -354,17 +426,18 @@ def split_side(split: Column) -> Column:
 
 
 def pairs(df: DataFrame, id_col: str = "source_id", data: str = "data", split: str = "split", cap: int = CAP) -> DataFrame:
-    """eval_id, train_id of all pairs of copies and near-copies across the splits."""
+    """eval_id, train_id, coverage of all pairs of copies (covered in full) and near-copies across the splits."""
     tok = tokens(df, id_col, data, split_side(F.col(split)))
     near = near_texts(tok, cap)
     ids = tok.select("id", "side", "text_key")
     e = ids.filter(f"side = {EVAL}").select(F.col("id").alias("eval_id"), F.col("text_key").alias("a"))
     t = ids.filter(f"side = {TRAIN}").select(F.col("id").alias("train_id"), F.col("text_key").alias("b"))
-    of_near = near.join(e, "a").join(t, "b").select("eval_id", "train_id")
+    of_near = near.join(e, "a").join(t, "b").select("eval_id", "train_id", "coverage")
     keyed = linked_keys(tok.select("id", "p", "c", "side"))
     ke = keyed.filter(f"side = {EVAL}").select(F.col("id").alias("eval_id"), "data_key")
     kt = keyed.filter(f"side = {TRAIN}").select(F.col("id").alias("train_id"), "data_key")
-    return of_near.unionByName(ke.join(kt, "data_key").select("eval_id", "train_id")).distinct()
+    of_key = ke.join(kt, "data_key").select("eval_id", "train_id", F.lit(1.0).alias("coverage"))
+    return of_near.unionByName(of_key).groupBy("eval_id", "train_id").agg(F.max("coverage").alias("coverage"))
 
 
 def found(df: DataFrame, **options) -> DataFrame:
@@ -373,9 +446,10 @@ def found(df: DataFrame, **options) -> DataFrame:
 
 
 def report(df: DataFrame, id_col: str = "source_id", split: str = "split", source: str = "dataset", **options) -> DataFrame:
-    """Per evaluation split and source: its rows, those that occur in training, and the pairs."""
+    """Per evaluation split and source: its rows, those that occur in training, the pairs, and how much of a row that occurs
+    the shared spans with its best partner cover on average."""
     both = pairs(df, id_col=id_col, split=split, **options)
-    per_row = both.groupBy(F.col("eval_id").alias("id")).agg(F.count("*").alias("pairs"))
+    per_row = both.groupBy(F.col("eval_id").alias("id")).agg(F.count("*").alias("pairs"), F.max("coverage").alias("coverage"))
     rows = df.select(F.col(id_col).alias("id"), F.lower(F.trim(split)).alias("split"), F.col(source).alias("source")).filter("split IN ('test', 'valid')")
     return rows.join(per_row, "id", "left").groupBy("split", "source").agg(
-        F.count("*").alias("rows"), F.count("pairs").alias("leaked_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+        F.count("*").alias("rows"), F.count("pairs").alias("leaked_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
