@@ -44,7 +44,7 @@ LEVELS, SPREAD, WORTH, AGAIN = 4, 8, 60, 4
 #: Counters of the sketch, most long lists per level, and words taken at once.
 COUNTERS_LOG2, LONG_LISTS, PIECE = 20, 500_000, 200_000
 #: Words of a suffix after its first one.
-NEXT = 8
+NEXT = 4
 SIMILAR = 0.8
 TRAIN, EVAL = 1, 2
 
