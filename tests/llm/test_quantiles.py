@@ -89,5 +89,5 @@ def test_repeated_rows_count_once(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(1, 5.0, "a"), (1, 5.0, "a"), (2, 7.0, None), (None, 9.0, "a")], "id long, x double, d string")
-    rows = q.by_dimension(df, "id", "x", "m", kind=F.col("d"))
-    assert sorted((r.dim, r.val or "", r.x) for r in rows.collect()) == [("all", "", 5.0), ("all", "", 7.0), ("kind", "", 7.0), ("kind", "a", 5.0)]
+    rows = q.by_dimension(df, "id", "x", "m", kind=F.col("d"), other=F.lit("o"))
+    assert sorted((r.dim, r.val or "", r.x) for r in rows.collect()) == [("all", "", 5.0), ("all", "", 7.0), ("kind", "", 7.0), ("kind", "a", 5.0), ("kind other", "a|o", 5.0), ("kind other", "|o", 7.0), ("other", "o", 5.0), ("other", "o", 7.0)]

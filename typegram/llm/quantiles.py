@@ -252,10 +252,12 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Sequence[flo
 
 
 def by_dimension(df: DataFrame, id_col: str, value: str, measure: str, **dimensions) -> DataFrame:
-    """measure, dim, val, x: every distinct row once per dimension (and once for all), ready to be sketched."""
+    """measure, dim, val, x: every distinct row once per dimension, once for all dimensions together (val joined by |, NULL as
+    nothing) and once for all rows, ready to be sketched."""
     rows = df.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(value).cast("double").alias("x"), *(c.cast("string").alias(f"d_{d}") for d, c in dimensions.items()))
     rows = rows.filter(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
     dims = F.array(F.struct(F.lit("all").alias("dim"), F.lit(None).cast("string").alias("val")),
-                   *(F.struct(F.lit(d).alias("dim"), F.col(f"d_{d}").alias("val")) for d in dimensions))
+                   F.struct(F.lit(" ".join(dimensions)).alias("dim"), F.concat_ws("|", *(F.coalesce(f"d_{d}", F.lit("")) for d in dimensions)).alias("val")),
+               *(F.struct(F.lit(d).alias("dim"), F.col(f"d_{d}").alias("val")) for d in dimensions))
     return rows.select(F.lit(measure).alias("measure"), F.explode(dims).alias("g"), "x").select("measure", "g.dim", "g.val", "x")
