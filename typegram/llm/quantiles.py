@@ -56,17 +56,21 @@ def decode(codes: np.ndarray) -> np.ndarray:
     return np.where(positive, ordered ^ _TOP, ~filled).view(np.float64) + 0.0
 
 
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))
+def _mix(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) + seed
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _cells(nodes: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counter and sign of each node in one row of a level's sketch."""
-    h = _mix(nodes, level * DEPTH + row + 1)
-    return (h & np.uint64(WIDTH - 1)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
+_SEEDS = (np.arange(BITS * DEPTH + DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 1)
+
+
+def _cells(nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counter among all of a level's and sign, per row of its sketch and node."""
+    h = _mix(nodes[None, :], _SEEDS[level * DEPTH + 1:(level + 1) * DEPTH + 1])
+    at = (h & np.uint64(WIDTH - 1)).astype(np.int64) + np.arange(0, DEPTH * WIDTH, WIDTH)[:, None]
+    return at, 1 - 2 * (h >> np.uint64(63) == 0)
 
 
 def _summed(nodes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +92,12 @@ class Sketch:
     def update(self, codes: np.ndarray, weights: np.ndarray) -> Sketch:
         nodes, weights = _summed(codes, weights)
         for level in range(BITS, PLAIN, -1):
-            for row in range(DEPTH):
-                at, sign = _cells(nodes, level, row)
-                # sums of weights below 2**53 are exact as doubles
-                self.signed[level - PLAIN - 1, row] += np.bincount(at, sign * weights, WIDTH).astype(np.int64)
+            at, sign = _cells(nodes, level)
+            counters = self.signed[level - PLAIN - 1].reshape(-1)
+            if at.size > counters.size:  # sums of weights below 2**53 are exact as doubles
+                counters += np.bincount(at.reshape(-1), (sign * weights).reshape(-1), counters.size).astype(np.int64)
+            else:
+                np.add.at(counters, at, sign * weights)
             nodes, weights = _summed(nodes >> 1, weights)
         np.add.at(self.plain, nodes, weights)
         return self
@@ -115,7 +121,7 @@ class Sketch:
         rank = np.maximum(1.0, np.ceil(np.array(wanted, float) * n - 1e-9))
         node, here = np.zeros(len(rank), np.int64), np.full(len(rank), float(n))
         for level in range(1, BITS + 1):
-            left, right = self._count(sums, level, node * 2), self._count(sums, level, node * 2 + 1)
+            left, right = self._count(sums, level, np.concatenate([node * 2, node * 2 + 1])).reshape(2, -1)
             left = np.clip(left, 0, here)
             if level > PLAIN:  # the halves sum up to their parent: spread what is over evenly
                 left = np.where(right > 0, np.clip((left + here - np.minimum(right, here)) / 2, 0, here), left)
@@ -126,11 +132,8 @@ class Sketch:
     def _count(self, sums: list[np.ndarray], level: int, nodes: np.ndarray) -> np.ndarray:
         if level <= PLAIN:
             return sums[PLAIN - level][nodes].astype(float)
-        got = []
-        for row in range(DEPTH):
-            at, sign = _cells(nodes, level, row)
-            got.append(self.signed[level - PLAIN - 1, row, at] * sign)
-        return np.median(got, axis=0)
+        at, sign = _cells(nodes, level)
+        return np.median(self.signed[level - PLAIN - 1].reshape(-1)[at] * sign, axis=0)
 
 
 SKETCH = "codes binary, weights binary, cells binary"
@@ -248,7 +251,10 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Sequence[flo
         rows = [[*key, n, p, v, RANK_ERROR, VALUE_ERROR] for p, v in zip(wanted, values, strict=True) if n > 0]
         return pd.DataFrame(rows, columns=[*groups, "n", "p", "estimate", "rank_error", "value_error"])
 
-    return _few(sketches, groups).groupBy(*groups).applyInPandas(read, _schema(sketches, groups) + "n bigint, p double, estimate double, rank_error double, value_error double")
+    # as many tasks as there are partitions: small rows take long to read
+    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _few(sketches, groups).repartition(parts, *groups) if groups else _few(sketches, groups)
+    return rows.groupBy(*groups).applyInPandas(read, _schema(sketches, groups) + "n bigint, p double, estimate double, rank_error double, value_error double")
 
 
 def by_dimension(df: DataFrame, id_col: str, value: str, measure: str, **dimensions) -> DataFrame:
