@@ -112,26 +112,25 @@ class Sketch:
 
     def invert(self, wanted: Sequence[float]) -> tuple[int, list[float | None]]:
         """n and the value at each wanted percentile: of rank ceil(p * n), at least 1."""
-        sums = [self.plain]
-        while len(sums[-1]) > 1:
-            sums.append(sums[-1].reshape(-1, 2).sum(axis=1))
-        n = int(sums[-1][0])
+        n = int(self.plain.sum())
         if n <= 0:
             return n, [None] * len(wanted)
         rank = np.maximum(1.0, np.ceil(np.array(wanted, float) * n - 1e-9))
-        node, here = np.zeros(len(rank), np.int64), np.full(len(rank), float(n))
-        for level in range(1, BITS + 1):
-            left, right = self._count(sums, level, np.concatenate([node * 2, node * 2 + 1])).reshape(2, -1)
+        # the plain resolutions at once: the descent through exact sums ends where the running sum reaches the rank
+        below = np.cumsum(self.plain)
+        node = np.searchsorted(below, rank, "left")
+        here = self.plain[node].astype(float)
+        rank = rank - (below[node] - here)
+        for level in range(PLAIN + 1, BITS + 1):
+            left, right = self._count(level, np.concatenate([node * 2, node * 2 + 1])).reshape(2, -1)
             left = np.clip(left, 0, here)
-            if level > PLAIN:  # the halves sum up to their parent: spread what is over evenly
-                left = np.where(right > 0, np.clip((left + here - np.minimum(right, here)) / 2, 0, here), left)
+            # the halves sum up to their parent: spread what is over evenly
+            left = np.where(right > 0, np.clip((left + here - np.minimum(right, here)) / 2, 0, here), left)
             down = rank > left
             rank, here, node = np.where(down, rank - left, rank), np.where(down, here - left, left), node * 2 + down
         return n, decode(node).tolist()
 
-    def _count(self, sums: list[np.ndarray], level: int, nodes: np.ndarray) -> np.ndarray:
-        if level <= PLAIN:
-            return sums[PLAIN - level][nodes].astype(float)
+    def _count(self, level: int, nodes: np.ndarray) -> np.ndarray:
         at, sign = _cells(nodes, level)
         return np.median(self.signed[level - PLAIN - 1].reshape(-1)[at] * sign, axis=0)
 
@@ -199,7 +198,7 @@ def sketch(df: DataFrame, value: str, groups: Sequence[str], weight: int = 1, up
     return rows.mapInArrow(_sketched(groups, weight, updates), _schema(df, groups) + SKETCH)
 
 
-def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Sketch | None]:
+def _added(pdf: pd.DataFrame | dict[str, list]) -> tuple[np.ndarray, np.ndarray, Sketch | None]:
     """Sum of all rows: updates, and counters where any row holds them."""
     codes = [np.frombuffer(x, "<i4").astype(np.int64) for x in pdf["codes"] if x is not None]
     weights = [np.frombuffer(x, "<i8") for x in pdf["weights"] if x is not None]
@@ -245,16 +244,19 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], wanted: Sequence[flo
     """groups, n, p, estimate, rank_error, value_error of sketches, merged or in parts; groups without values are left out."""
     groups, wanted = list(groups), [float(p) for p in wanted]
 
-    def read(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, weights, total = _added(pdf)
+    def read(key: tuple, rows: pa.Table) -> pa.Table:
+        codes, weights, total = _added({c: rows.column(c).to_pylist() for c in ("codes", "weights", "cells")})
         n, values = (total or Sketch()).update(codes, weights).invert(wanted)
-        rows = [[*key, n, p, v, RANK_ERROR, VALUE_ERROR] for p, v in zip(wanted, values, strict=True) if n > 0]
-        return pd.DataFrame(rows, columns=[*groups, "n", "p", "estimate", "rank_error", "value_error"])
+        m = len(wanted) if n > 0 else 0
+        columns = [pa.array([k.as_py()] * m, rows.schema.field(g).type) for g, k in zip(groups, key, strict=True)]
+        columns += [pa.array([n] * m, pa.int64()), pa.array(wanted[:m], pa.float64()), pa.array(values[:m], pa.float64()),
+                    pa.array([RANK_ERROR] * m, pa.float64()), pa.array([VALUE_ERROR] * m, pa.float64())]
+        return pa.Table.from_arrays(columns, [*groups, "n", "p", "estimate", "rank_error", "value_error"])
 
     # as many tasks as there are partitions: small rows take long to read
     parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _few(sketches, groups).repartition(parts, *groups) if groups else _few(sketches, groups)
-    return rows.groupBy(*groups).applyInPandas(read, _schema(sketches, groups) + "n bigint, p double, estimate double, rank_error double, value_error double")
+    return rows.groupBy(*groups).applyInArrow(read, _schema(sketches, groups) + "n bigint, p double, estimate double, rank_error double, value_error double")
 
 
 def by_dimension(df: DataFrame, id_col: str, value: str, measure: str, **dimensions) -> DataFrame:
