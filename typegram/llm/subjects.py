@@ -163,21 +163,21 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, board, text in zip(pdf["id"], pdf["board"], pdf["text"], strict=True):
             own = own_sentences(text)
             urls = [stem(w.lower()) for u in _URL.findall(text) for w in posts.WORD.findall(u)]
-            rest = [w for s in own_sentences_of_quotes(text) for w in s]
+            rest = [w for s in quoted_sentences(text, own) for w in s]
             rows.append((i, board, own, urls, rest))
         yield pd.DataFrame(rows, columns=["id", "board", "own", "urls", "quoted"])
 
 
-def own_sentences_of_quotes(text: str) -> list[list[str]]:
-    """Stems of what is quoted: everything that is not own."""
+def quoted_sentences(text: str, own: list[list[str]]) -> list[list[str]]:
+    """Stems of what is quoted: every sentence but the own ones."""
     if ">" not in text and "uote" not in text.lower() and ":" not in text:
         return []
-    own = Counter(tuple(s) for s in own_sentences(text))
+    left = Counter(map(tuple, own))
     out = []
     for s in posts.sentences(posts.clean(text)):
         w = tuple(dict.fromkeys(stem(x.lower()) for x in posts.WORD.findall(s) if len(x) > 2 and not x[0].isdigit()))
-        if own[w]:
-            own[w] -= 1
+        if left[w]:
+            left[w] -= 1
         elif w:
             out.append(list(w))
     return out
