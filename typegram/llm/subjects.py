@@ -32,6 +32,7 @@ SEEDS = 100_000
 SHARE, LIFT = 0.25, 2.0
 ROUNDS, EM_ROUNDS = 2, 30
 LEVELS = 6  # evidence 0 to 5 or more
+TREATED, CERTAIN = 2, 4  # evidence of two own sentences with a word each, and with two words each
 _URL = re.compile(r"https?://[^\s\[\]<>\"']+", re.I)
 
 
@@ -269,46 +270,46 @@ class _Adding(dict):
         return self.into.setdefault(word, Counter())
 
 
-#: How evidence is expected to fall without and with a treated area, and how many seeds that expectation is worth.
-PRIOR = ((0.93, 0.05, 0.014, 0.004, 0.001, 0.001), (0.001, 0.002, 0.01, 0.167, 0.41, 0.41))
-PRIOR_WEIGHT = 10
 Pattern = tuple[int, int, int, int]  # evidence, address, section, board
 
 
 def latent_model(patterns: dict[Pattern, float], labelled: dict[tuple[int, bool], float], rounds: int = EM_ROUNDS) -> dict[Pattern, float]:
-    """Posterior of each vote pattern. labelled: counts of (evidence, label) of the seeds, kept fixed."""
-    sizes = (LEVELS, 2, 2, 2)
+    """Posterior of each vote pattern. labelled: counts of (evidence, label) of the seeds, whose labels stay as they are.
 
-    # evidence: what the seeds say of it, with the expectation worth PRIOR_WEIGHT seeds; it anchors the labels
-    of_evidence = []
-    for label in (0, 1):
-        c = [labelled.get((e, bool(label)), 0) + PRIOR_WEIGHT * PRIOR[label][e] for e in range(LEVELS)]
-        of_evidence.append([x / sum(c) for x in c])
+    The distributions of all functions, evidence too, are learned. What anchors the labels is the definition: an area is treated
+    in two own sentences or more, so evidence below TREATED and from CERTAIN on leaves no doubt; the posts between are judged
+    by all functions. Without such anchors the labels of few posts drift.
+    """
+    sizes = (LEVELS, 2, 2, 2)
 
-    def probabilities(weights: dict[Pattern, tuple[float, float]]):
+    def distributions(weights: dict[Pattern, tuple[float, float]]) -> list[list[list[float]]]:
         out = []
         for label in (0, 1):
-            per = [of_evidence[label]]
-            for f in (1, 2, 3):
+            per = []
+            for f in range(4):
                 c = [0.5] * sizes[f]
+                if f == 0:
+                    c = [x + labelled.get((e, bool(label)), 0) for e, x in enumerate(c)]
                 for p, w in weights.items():
                     c[p[f]] += w[label]
                 per.append([x / sum(c) for x in c])
             out.append(per)
         return out
 
-    start = {e: of_evidence[1][e] / (of_evidence[1][e] + of_evidence[0][e]) for e in range(LEVELS)}
-    posterior = {p: start[p[0]] for p in patterns}
+    theta = distributions({})
+    of_seeds = [theta[1][0][e] / (theta[1][0][e] + theta[0][0][e]) for e in range(LEVELS)]
+    posterior = {p: 0.0 if p[0] < TREATED else of_seeds[p[0]] if p[0] < CERTAIN else 1.0 for p in patterns}  # the start
+    total = sum(patterns.values()) or 1
     for _ in range(rounds):
         weights = {p: (n * (1 - posterior[p]), n * posterior[p]) for p, n in patterns.items()}
-        theta = probabilities(weights)
-        total = sum(patterns.values()) or 1
+        theta = distributions(weights)
         prior = min(max(sum(w[1] for w in weights.values()) / total, 1e-6), 1 - 1e-6)
         for p in patterns:
             no, yes = 1 - prior, prior
             for f in range(4):
                 no, yes = no * theta[0][f][p[f]], yes * theta[1][f][p[f]]
-            posterior[p] = yes / (yes + no) if yes + no else 0.0
+            if TREATED <= p[0] < CERTAIN:
+                posterior[p] = yes / (yes + no) if yes + no else 0.0
     return posterior
 
 
