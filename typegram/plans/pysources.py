@@ -86,8 +86,10 @@ def token_names(spark, sf_dir):
 
 
 @query("exact_rank_logs", """
-SELECT outcome_id, rank1_exact, round(log10(rank1_exact::DOUBLE), 6) AS log10 FROM (SELECT DISTINCT outcome_id, rank1_exact FROM rank_outcome WHERE rank1_exact IS NOT NULL) WHERE regexp_matches(rank1_exact, '[1-9]') AND length(rank1_exact) < 300
+WITH r AS (SELECT DISTINCT outcome_id, rank1_exact, ltrim(rank1_exact, '0') AS d FROM rank_outcome WHERE regexp_matches(rank1_exact, '[1-9]'))
+SELECT outcome_id, rank1_exact, round(log10(left(d, 15)::DOUBLE) + greatest(length(d) - 15, 0), 6) AS log10 FROM r
 """)
 def exact_rank_logs(spark, sf_dir):
-    r = table(spark, sf_dir, "rank_outcome").select("outcome_id", "rank1_exact").distinct().filter(F.col("rank1_exact").rlike("[1-9]") & (F.length("rank1_exact") < 300))
+    """Logarithms of integers of any size, by their leading digits and their number."""
+    r = table(spark, sf_dir, "rank_outcome").select("outcome_id", "rank1_exact").distinct().filter(F.col("rank1_exact").rlike("[1-9]"))
     return r.withColumn("log10", F.round(scalars.log10_of(F.col("rank1_exact")), 6))
