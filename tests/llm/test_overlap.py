@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from typegram.llm import overlap
 
@@ -224,3 +225,33 @@ def test_coverage_is_a_common_subsequence():
     x = np.arange(100, dtype="<u4")
     y = np.insert(x, [20, 50, 51, 80], 999).astype("<u4")
     assert overlap.covered_words(x.tobytes(), y.tobytes(), [(i, int(np.flatnonzero(y == i)[0]), 1) for i in (3, 30, 50, 60, 90)]) == 100
+
+
+def test_long_lists_are_divided_and_lose_nothing():
+    """Unlike texts of few words meet in long lists: far fewer pairs are looked at, and every near pair is still among them."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(2500):
+        n = rng.choice([5, 400] + [60] * 60)
+        texts.append([rng.randrange(40 if n < 30 else 600) for _ in range(n)])
+    for t in rng.sample(texts, 300):
+        texts.append([rng.randrange(600) if rng.random() < 0.12 else w for w in t])
+    names = [np.array(t, "<u4") * np.uint32(2654435761) for t in texts]
+    rows = pd.DataFrame({"text_key": range(len(texts)), "side": [rng.choice([1, 2, 3]) for _ in texts], "n": [len(t) for t in texts], "words": [x.tobytes() for x in names]})
+    often = np.zeros(1 << overlap.COUNTERS_LOG2, np.int32)
+    for part in overlap._sketched([rows]):
+        for i, x in zip(part["part"], part["counts"], strict=True):
+            often.reshape(16, -1)[i] += np.frombuffer(x, "<i4")
+    none = {"name": np.zeros(0, np.uint64), "e": np.zeros(0, np.int64), "t": np.zeros(0, np.int64)}
+    listed = pd.concat(overlap._listed(often, [], none)([rows]))
+
+    def near(**o):
+        lists = overlap.Lists({c: listed[c].to_numpy() for c in listed.columns}, **o)
+        pairs = {(a, b) for x in lists.pairs() for a, b in zip(x["a"], x["b"], strict=True)}
+        return lists.looked, {(a, b) for a, b in pairs if overlap.common_words(names[a].tobytes(), names[b].tobytes()) * 5 >= 4 * max(len(names[a]), len(names[b]))}
+
+    every, want = near(worth=1e18)
+    assert len(want) > 100
+    for names_ in (overlap.NAMES, 500):
+        looked, got = near(worth=0.5, names=names_)
+        assert got == want and looked * 2 < every, (looked, every, len(got), len(want))

@@ -5,9 +5,10 @@ words' document frequencies says (any order is right, a good one is fast). A nea
 common; so the first word they share in that order, repeats numbered, stands among the first n - ceil(0.8 n) + 1 of either,
 and suffixes from these places alone meet every partner: a full suffix array would find no pair more. Suffixes are
 partitioned by their first word and sorted, cut to NEXT further words; common prefixes of neighbours give the intervals of
-suffixes that share one, and a pair of one interval across the splits has a shared span there. Where an interval is long
-and it costs less, its suffixes are named by the first two, three or four shared words instead, whose places are bounded
-likewise; intervals that are still large are joined in blocks by several tasks. None is cut, and no pair depends on its size.
+suffixes that share one, and a pair of one interval across the splits has a shared span there. Suffixes carry the names of the
+words that may be shared next, whose places are bounded likewise; by these the task that holds a long interval divides it again
+and again, where that costs less than its pairs. Intervals too large for a task are named by more shared words when they are
+listed, or joined in blocks by several tasks. None is cut, and no pair depends on its size.
 Length, place and a word profile bound the overlap of a pair from above, so no pair is lost by them.
 
 The spans of a pair are extended to maximal ones and merged into its coverage, the words of either that spans in the same
@@ -28,7 +29,7 @@ import numpy as np
 import pandas as pd
 import re
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typegram.functions.decoding import decode_source
@@ -36,8 +37,9 @@ from typegram.llm.copies import canonical_json, linked_keys
 from typegram.session import written
 
 WORD = re.compile(r"[^\W_]+")
-#: Lists of at most CAP texts are joined as they are; of others, blocks of BLOCK by BLOCK texts are one piece of work.
-CAP, BLOCK = 64, 4096
+#: Of lists with more pairs than BLOCK * BLOCK, blocks of BLOCK by BLOCK texts are one piece of work; lists of CAP texts have fewer.
+BLOCK = 16_384
+CAP = 2 * BLOCK
 #: Shared words a list may be named by, how many longer names a text may get for one on average, pairs worth one of them, and
 #: pairs worth looking at a listing once more.
 LEVELS, SPREAD, WORTH, AGAIN = 4, 8, 60, 4
@@ -45,6 +47,9 @@ LEVELS, SPREAD, WORTH, AGAIN = 4, 8, 60, 4
 COUNTERS_LOG2, LONG_LISTS, PIECE = 20, 500_000, 200_000
 #: Words of a suffix after its first one.
 NEXT = 4
+#: Shared words by which a list is divided further within its task, pairs that cost as much as one such name, names taken at once,
+#: and words that a suffix carries for it at most; suffixes that would need more are compared undivided.
+STEPS, WORTH_NAME, NAMES, CARRIED = 4, 4, 2_000_000, 64
 SIMILAR = 0.8
 TRAIN, EVAL = 1, 2
 
@@ -86,10 +91,14 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tokens(df: DataFrame, id_col: str, data: str, side: Column) -> DataFrame:
+    """One row per record; the first one of a text has its words and all its sides."""
     rows = df.select(F.col(id_col).alias("id"), side.cast("int").alias("side"), F.col(data).alias("data")).filter(
         "id IS NOT NULL AND side IS NOT NULL AND data IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    return written(rows.mapInPandas(_tokens, f"id {kind}, side int, p binary, c binary, text_key bigint, n int, words binary"))
+    tok = rows.mapInPandas(_tokens, f"id {kind}, side int, p binary, c binary, text_key bigint, n int, words binary")
+    same = Window.partitionBy("text_key")
+    first = F.row_number().over(same.orderBy("id")) == 1
+    return written(tok.select(*tok.columns[:-1], F.when(first, F.bit_or("side").over(same)).alias("sides"), F.when(first, F.col("words")).alias("words")))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -198,23 +207,27 @@ def _places(x: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return among[at] == x, at
 
 
-def listings(lens: np.ndarray, a: np.ndarray, doc: np.ndarray, often: np.ndarray, longer: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The suffixes of each text, by the number of shared words that name them: name, text, words after the last one in the
-    order by frequency, words that a longer name could add, frequency of the first word, its place in a. longer: per level the
-    intervals that are named by one word more."""
+def by_frequency(a: np.ndarray, doc: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """numbered_words of each text, rarest first."""
     h, where = numbered_words(a, doc)
     order = np.lexsort((h, doc << 32 | often[_counter(h)]))
-    h, where = h[order], where[order]
+    return h[order], where[order]
+
+
+def listings(lens: np.ndarray, h: np.ndarray, where: np.ndarray, doc: np.ndarray, often: np.ndarray, longer: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The suffixes of each text, by the number of shared words that name them: name, text, words after the last one in the
+    order by frequency, words that a longer name could add, frequency of the first word, its place in the text's words, and the
+    last one's in h. longer: per level the intervals that are named by one word more. Words of one text alone name none."""
     place = np.arange(len(h)) - (np.cumsum(lens) - lens)[doc]
     spare = lens - least_common(lens)
-    at = np.flatnonzero(place <= spare[doc])
+    at = np.flatnonzero((place <= spare[doc]) & (often[_counter(h)] > 1))
     name, first, begin = h[at], often[_counter(h[at])], where[at]
     for level in range(1, len(longer) + 2):
         d = doc[at]
         more = np.minimum(spare[d] + level, lens[d] - 1) - place[at]  # the next shared word is one of so many
         split = _places(name, longer[level - 1])[0] if level <= len(longer) else np.zeros(len(at), bool)
         keep = ~split
-        yield name[keep], d[keep], lens[d[keep]] - 1 - place[at[keep]], more[keep], first[keep], begin[keep]
+        yield name[keep], d[keep], lens[d[keep]] - 1 - place[at[keep]], more[keep], first[keep], begin[keep], at[keep]
         at, name, first, more, begin = at[split], name[split], first[split], more[split], begin[split]
         of = np.repeat(np.arange(len(at)), more)
         at = at[of] + 1 + np.arange(len(of)) - (np.cumsum(more) - more)[of]
@@ -226,7 +239,7 @@ def _list_sizes(often: np.ndarray, longer: list[np.ndarray], cap: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, lens, a, doc in _pieces(batches):
-            *_, (name, d, _, more, first, _) = listings(lens, a, doc, often, longer)
+            *_, (name, d, _, more, first, _, _) = listings(lens, *by_frequency(a, doc, often), doc, often, longer)
             may = first > cap
             side = rows["side"].to_numpy(np.int64)[d[may]]
             if len(side):
@@ -237,13 +250,28 @@ def _list_sizes(often: np.ndarray, longer: list[np.ndarray], cap: int):
     return run
 
 
+def choices(n: np.ndarray, after: np.ndarray, level: np.ndarray | int, step: int) -> np.ndarray:
+    """Of the words after the last one of a name of `level` words, how many can be the shared word `step` words beyond the next one."""
+    return np.minimum(after, after + 1 + level - least_common(n) + step)
+
+
+def _carried(short: np.ndarray, last: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """The names of the `count` words after each of these places, none where they are too many."""
+    count = np.where(count <= CARRIED, count, 0)
+    ends = np.cumsum(count)
+    all_ = short[np.repeat(last + 1 - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    return [all_[2 * i:2 * j] for i, j in zip((ends - count).tolist(), ends.tolist(), strict=True)]
+
+
 def _listed(often: np.ndarray, longer: list[np.ndarray], wide: dict[str, np.ndarray]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, lens, a, doc in _pieces(batches):
             key, side = rows["text_key"].to_numpy(np.int64), rows["side"].to_numpy(np.int8)
             profile = np.array([x.tobytes() for x in profiles(a, doc, len(lens))] + [None], dtype=object)
             start = np.cumsum(lens) - lens
-            for level, (name, d, after, _, _, begin) in enumerate(listings(lens, a, doc, often, longer), 1):
+            h, where = by_frequency(a, doc, often)
+            short = h.astype(np.uint16)
+            for level, (name, d, after, _, _, begin, last) in enumerate(listings(lens, h, where, doc, often, longer), 1):
                 is_wide, at = _places(name, wide["name"])
                 i = np.flatnonzero(~is_wide)
                 parts = [(name[i], i, side[d[i]])]
@@ -260,58 +288,139 @@ def _listed(often: np.ndarray, longer: list[np.ndarray], wide: dict[str, np.ndar
                 for name_, i, side_ in parts:
                     if len(i):
                         next_ = following(a, doc, begin[i])
+                        carried = _carried(short, last[i], choices(lens[d[i]], after[i], level, STEPS - 1))
                         yield pd.DataFrame({"name": name_.view(np.int64), "text_key": key[d[i]], "side": side_, "level": np.int8(level), "n": lens[d[i]].astype(np.int32),
                                             "after": after[i].astype(np.int32), "place": (begin[i] - start[d[i]]).astype(np.int32),
-                                            "next": [x.tobytes() for x in next_], "profile": profile[d[i]]})
+                                            "next": [x.tobytes() + y for x, y in zip(next_, carried, strict=True)], "profile": profile[d[i]]})
 
     return run
 
 
 def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of an evaluation and a training text with suffixes in one interval that leave room for four fifths, and the span
-    that these share."""
     frames = [x for x in batches if len(x)]
-    if not frames:
-        return
-    f = {c: np.concatenate([x[c].to_numpy() for x in frames]) for c in frames[0].columns}
-    del frames
-    next_ = np.frombuffer(b"".join(f.pop("next")), np.uint16).reshape(-1, NEXT)
-    order, lcp = suffix_order(f["name"], next_)
-    f, next_ = {c: x[order] for c, x in f.items()}, next_[order]
-    profile = np.frombuffer(b"".join(f.pop("profile")), np.uint8).reshape(-1, 32)
-    key, n, after, level, place = f["text_key"], f["n"].astype(np.int64), f["after"], f["level"], f["place"]
-    of = np.cumsum(lcp == 0) << 32  # intervals of suffixes with a common prefix
-    e, t = np.flatnonzero(f["side"] & EVAL), np.flatnonzero(f["side"] & TRAIN)
-    t = t[np.argsort(of[t] | n[t], kind="stable")]
-    by = of[t] | n[t]
-    low, high = np.searchsorted(by, of[e] | least_common(n[e]), "left"), np.searchsorted(by, of[e] | 5 * n[e] // 4, "right")
-    e, low, count = e[high > low], low[high > low], (high - low)[high > low]
-    ends = np.cumsum(count)
-    done, out, held = 0, [], 0
+    if frames:
+        f = {c: np.concatenate([x[c].to_numpy() for x in frames]) for c in frames[0].columns}
+        del frames
+        yield from Lists(f).pairs()
 
-    def flush() -> pd.DataFrame:
-        a, b, pa, pb, words = (np.concatenate(x) for x in zip(*out, strict=True))
+
+class Lists:
+    """Pairs of an evaluation and a training text with suffixes in one interval that leave room for four fifths, and the span
+    that these share. An entry is a suffix (its row), the list it stands in and how many of its carried words the list's name used."""
+
+    def __init__(self, f: dict[str, np.ndarray], worth: float = WORTH_NAME, names: int = NAMES):
+        self.worth, self.names, self.out, self.held, self.looked = worth, names, [], 0, 0
+        next_ = f.pop("next")
+        size = np.fromiter(map(len, next_), np.int64, len(next_)) // 2
+        words, start = np.frombuffer(b"".join(next_), np.uint16), np.cumsum(size) - size
+        next_ = words[start[:, None] + np.arange(NEXT)]
+        order, lcp = suffix_order(f["name"], next_)
+        f = {c: x[order] for c, x in f.items()}
+        self.next, self.words, self.start, self.carried = next_[order], words, start[order] + NEXT, size[order] - NEXT
+        self.profile = np.frombuffer(b"".join(f.pop("profile")), np.uint8).reshape(-1, 32)
+        self.key, self.place, self.side = f["text_key"], f["place"], f["side"]
+        self.n, self.after, self.level = (f[c].astype(np.int64) for c in ("n", "after", "level"))
+        self.whole = self.carried == choices(self.n, self.after, self.level, STEPS - 1)
+        self.of = np.cumsum(lcp == 0) - 1  # intervals of suffixes with a common prefix
+
+    def pairs(self) -> Iterator[pd.DataFrame]:
+        yield from self.divided(np.arange(len(self.of)), self.of, np.zeros(len(self.of), np.int64), 0)
+        if self.held:
+            yield self.flush()
+
+    def flush(self) -> pd.DataFrame:
+        a, b, pa, pb, words = (np.concatenate(x) for x in zip(*self.out, strict=True))
+        self.out, self.held = [], 0
         return pd.DataFrame({"a": a, "b": b, "pa": pa, "pb": pb, "words": words}).drop_duplicates()
 
-    while done < len(e):
-        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 500_000, "right")))
-        c = count[done:to]
-        x = np.repeat(e[done:to], c)
-        y = t[np.repeat(low[done:to] - (np.cumsum(c) - c), c) + np.arange(len(x))]
-        done = to
-        least = least_common(np.maximum(n[x], n[y]))
-        good = (key[x] != key[y]) & (level[x] + np.minimum(after[x], after[y]) >= least)
-        x, y, least = x[good], y[good], least[good]
-        fits = may_overlap(profile[x], profile[y], least, n[x], n[y])
-        x, y = x[fits], y[fits]
-        words = 1 + np.cumprod((next_[x] == next_[y]) & (next_[x] > 0), axis=1).sum(axis=1)
-        out.append((key[x], key[y], place[x], place[y], words.astype(np.int32)))
-        held += len(x)
-        if held > 1_000_000:
-            yield flush()
-            out, held = [], 0
-    if held:
-        yield flush()
+    def windows(self, row: np.ndarray, of: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of entries x and y, evaluation and training texts of one list whose lengths are near enough: e, t, and for each of e
+        where its partners among t begin and how many they are."""
+        e, t = x[self.side[row[x]] & EVAL > 0], y[self.side[row[y]] & TRAIN > 0]
+        by = of[t] << 32 | self.n[row[t]]
+        order = np.argsort(by, kind="stable")
+        t, by = t[order], by[order]
+        n, list_ = self.n[row[e]], of[e] << 32
+        low, high = np.searchsorted(by, list_ | least_common(n), "left"), np.searchsorted(by, list_ | 5 * n // 4, "right")
+        any_ = high > low
+        return e[any_], t, low[any_], (high - low)[any_]
+
+    def divided(self, row: np.ndarray, of: np.ndarray, used: np.ndarray, step: int, window: tuple[np.ndarray, ...] | None = None) -> Iterator[pd.DataFrame]:
+        e, t, low, count = window or self.windows(row, of, np.arange(len(row)), np.arange(len(row)))
+        if not len(e):
+            return
+        can = self.whole[row] & (least_common(self.n[row]) > self.level[row] + step)  # a near copy must share a further word
+        more = np.where(can, choices(self.n[row], self.after[row], self.level[row], step) - used, 0)
+        pairs = np.bincount(of[e], count, of.max() + 1)
+        deep = (pairs > self.worth * np.bincount(of, more, len(pairs))) & (step < STEPS)
+        if not deep.any():
+            yield from self.looked_at(row, used, step, e, t, low, count)
+            return
+        can &= deep[of]
+        i = ~can[e]
+        yield from self.looked_at(row, used, step, e[i], t, low[i], count[i])
+        odd = np.flatnonzero(deep[of] & ~can)
+        if len(odd):
+            yield from self.looked_at(row, used, step, *self.windows(row, of, np.flatnonzero(can), odd))
+        at = np.flatnonzero(can)
+        at = at[np.argsort(of[at], kind="stable")]
+        ends = np.cumsum(more[at])
+        last = np.append(of[at][1:] != of[at][:-1], True)  # lists stay whole
+        cuts, done = np.flatnonzero(last) + 1, 0
+        while done < len(at):
+            upto = ends[done] - more[at[done]] + self.names
+            to = max(cuts[np.searchsorted(cuts, done, "right")], cuts[max(0, np.searchsorted(ends[cuts - 1], upto, "right") - 1)])
+            yield from self.named(row, of, used, step, at[done:to], more)
+            done = to
+
+    def named(self, row: np.ndarray, of: np.ndarray, used: np.ndarray, step: int, at: np.ndarray, more: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The lists of these entries divided by one shared word more, those left as they are that it would not halve."""
+        count = more[at]
+        from_ = np.repeat(at, count)
+        nth = np.arange(len(from_)) - np.repeat(np.cumsum(count) - count, count) + used[from_]
+        name = of[from_] << 16 | self.words[self.start[row[from_]] + nth]
+        order = np.argsort(name)
+        name, from_, nth = name[order], from_[order], nth[order]
+        new = np.append(True, name[1:] != name[:-1])
+        begin, list_, side = np.flatnonzero(new), np.cumsum(new) - 1, self.side[row[from_]]
+        both = (np.bitwise_or.reduceat(side, begin) == EVAL | TRAIN)[list_] & (np.diff(np.append(begin, len(name))) > 1)[list_] if len(name) else np.zeros(0, bool)
+        list_, from_, nth = list_[both], from_[both], nth[both]
+        row_, used_, all_ = row[from_], nth + 1, np.arange(len(list_))
+        window = self.windows(row_, list_, all_, all_)
+        whole = self.windows(row, of, at, at)
+        base = of[at].min()
+        before = np.bincount(of[whole[0]] - base, whole[3], of[at].max() - base + 1)
+        after = np.bincount(of[from_[window[0]]] - base, window[3], len(before))
+        poor = 2 * after > before
+        if poor.any():
+            i = poor[of[whole[0]] - base]
+            yield from self.looked_at(row, used, step, whole[0][i], whole[1], whole[2][i], whole[3][i])
+            keep = ~poor[of[from_] - base]
+            row_, list_, used_, window = row_[keep], list_[keep], used_[keep], None
+        if len(row_):
+            yield from self.divided(row_, list_, used_, step + 1, window)
+
+    def looked_at(self, row: np.ndarray, used: np.ndarray, step: int, e: np.ndarray, t: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[pd.DataFrame]:
+        ends, done = np.cumsum(count), 0
+        while done < len(e):
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 500_000, "right")))
+            c = count[done:to]
+            i = np.repeat(e[done:to], c)
+            j = t[np.repeat(low[done:to] - (np.cumsum(c) - c), c) + np.arange(len(i))]
+            done = to
+            self.looked += len(i)
+            x, y = row[i], row[j]
+            least = least_common(np.maximum(self.n[x], self.n[y]))
+            shared = np.minimum(self.level[x] + self.after[x] - used[i], self.level[y] + self.after[y] - used[j]) + step
+            good = (self.key[x] != self.key[y]) & (shared >= least)
+            x, y, least = x[good], y[good], least[good]
+            fits = may_overlap(self.profile[x], self.profile[y], least, self.n[x], self.n[y])
+            x, y = x[fits], y[fits]
+            words = 1 + np.cumprod((self.next[x] == self.next[y]) & (self.next[x] > 0), axis=1).sum(axis=1)
+            self.out.append((self.key[x], self.key[y], self.place[x], self.place[y], words.astype(np.int32)))
+            self.held += len(x)
+            if self.held > 1_000_000:
+                yield self.flush()
 
 
 def candidates(texts: DataFrame, cap: int = CAP) -> DataFrame:
@@ -326,10 +435,12 @@ def candidates(texts: DataFrame, cap: int = CAP) -> DataFrame:
     level_rows = rows
     for level in range(1, LEVELS + 1):
         least = max(cap, level_rows // LONG_LISTS)
+        if often.max() <= least:
+            break
         sizes = texts.select("side", "n", "words").mapInPandas(_list_sizes(often, longer, least), "name bigint, e bigint, t bigint, texts bigint, more bigint")
         long = sizes.groupBy("name").agg(*(F.sum(c).alias(c) for c in ("e", "t", "texts", "more"))).filter(
             f"texts > {least} AND e > 0 AND t > 0").toPandas().astype(np.int64)
-        split = (long["e"] * long["t"] > WORTH * long["more"]) & (long["more"] <= SPREAD * long["texts"]) & (level < LEVELS)
+        split = (long["e"] * long["t"] > (WORTH * long["more"]).clip(lower=BLOCK * BLOCK)) & (long["more"] <= SPREAD * long["texts"]) & (level < LEVELS)
         split &= bool((long["e"] * long["t"])[split].sum() > AGAIN * rows)
         whole = long[~split & (long["e"] * long["t"] > BLOCK * BLOCK)]
         wide = pd.concat([wide, whole[["name", "e", "t"]]])
@@ -412,7 +523,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_texts(tok: DataFrame, cap: int = CAP) -> DataFrame:
     """a, b, coverage: keys of evaluation and training texts of which at least four fifths of either's words stand in the other
     in order, and the share of the evaluation text that shared spans cover."""
-    texts = written(tok.groupBy("text_key").agg(F.bit_or("side").alias("side"), F.first("n").alias("n"), F.first("words").alias("words")))
+    texts = tok.filter("sides IS NOT NULL").select("text_key", F.col("sides").alias("side"), "n", "words")
     pairs = written(candidates(texts, cap))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
     texts = written(texts.select("text_key", "words").join(needed, "text_key", "left_semi"))
